@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tierlake.llm.packing import fill_report, pack_containers
 from tierlake.llm.runs import collapse_runs
+from tierlake.llm.tokenizer import token_count, token_ids
 from tierlake.sources.tables import table
 
 
@@ -19,8 +22,21 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(table(spark, d, "pager_events"), keep=("event", "reason"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", token_ids(spark, F.col("text")).alias("ids"))
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    sized = table(spark, d, "documents").select("doc_id", token_count(spark, F.col("text")).alias("n_tokens"))
+    return pack_containers(sized, table(spark, d, "container_sizes"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p7_packing(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_runs)}
+    return {f.__name__: f for f in (p4_found, p4_runs, p6_ids, p7_packing, p7_fill)}
 
 
 _P4 = r"""
