@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tierlake.session import ensure_checkpoint_dir
 
@@ -29,7 +30,7 @@ LOST = "�"
 CELLS = 1 << 18
 #: By how many nats a character pair of the repaired text must be likelier on average, and how much in all.
 BETTER, BETTER_IN_ALL, ROUNDS = 1.5, 6.0, 3
-#: Nats less for each character saved by reading UTF-8: valid sequences hardly arise by chance.
+#: Nats less for each character more or less after reading UTF-8: valid sequences hardly arise by chance.
 PER_SAVED = 0.15
 #: The same where a character only becomes another one, which is weaker evidence than bytes that make up UTF-8.
 MAPPED, MAPPED_IN_ALL = 2.0, 14.0
@@ -219,7 +220,7 @@ class Reader:
                     t, k = self.score(new)
                     mean = (t / k if k else self.log.max()) - total / n
                     if pair[0] == UTF8:
-                        enough = mean > BETTER - PER_SAVED * (len(now) - len(new)) and mean * n > BETTER_IN_ALL and mean > 0
+                        enough = mean > BETTER - PER_SAVED * abs(len(now) - len(new)) and mean * n > BETTER_IN_ALL and mean > 0
                     else:
                         enough = mean > MAPPED and mean * n > MAPPED_IN_ALL
                     if enough and (best is None or mean > best[0]):
@@ -230,20 +231,200 @@ class Reader:
         return now, gain, undone
 
 
-def choose(explained: Iterable[tuple[tuple[tuple[str, str], ...], int]], least: int = 2) -> list[tuple[str, str]]:
+def choose(explained: Iterable[tuple[tuple[tuple[str, str], ...], int]], least: int = 3) -> list[tuple[str, str]]:
     """The fewest (right, wrong) pairs that explain the near-twins: greedily, each explaining ``least`` more of them."""
-    left = list(explained)
+    left = sorted(explained)
     chosen = []
     while left:
-        votes: dict[tuple[str, str], int] = {}
+        votes: Counter = Counter()
         for pairs, n in left:
             for p in pairs:
-                votes[p] = votes.get(p, 0) + n
-        if not votes:
-            break
+                votes[p] += n
         best = max(sorted(votes), key=votes.get)
         if votes[best] < least:
             break
         chosen.append(best)
         left = [(p, n) for p, n in left if best not in p]
     return chosen
+
+
+#: Characters that a skeleton needs to be joined on; a clean twin is this many times as frequent as the garbled one.
+SKELETON, TWIN_RATIO = 4, 3
+#: What a repair must gain for a pair of WIDE_PAIRS to be learned, in nats a character pair.
+WIDE_GAIN = 2.5
+
+
+def _text_column(b: pa.RecordBatch, name: str) -> list[str | None]:
+    return b.column(name).to_pylist()
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h, norm): non-ASCII passages of each text, once a text; the passage itself once a batch."""
+    for b in batches:
+        at, hashes, norms, seen = [], [], [], set()
+        for row, text in enumerate(_text_column(b, "text")):
+            if text is None or text.isascii():
+                continue
+            for q in dict.fromkeys(normal(p) for p in passages(text) if not p.isascii()):
+                h = xxhash.xxh3_64_intdigest(q.encode("utf-8", "replace")) - (1 << 63)
+                at.append(row)
+                hashes.append(h)
+                norms.append(None if h in seen else q)
+                seen.add(h)
+        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(hashes, pa.int64()), pa.array(norms, pa.string())], names=["id", "h", "norm"])
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for b in batches:
+        for q, n in zip(_text_column(b, "norm"), b.column("n").to_pylist(), strict=True):
+            np.add.at(counts, cells(q), n)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["cell", "n"])
+
+
+def _explain_twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        why = [";".join(f"{r}>{w}" for r, w in explain(g, c)) for g, c in zip(_text_column(b, "norm"), _text_column(b, "clean"), strict=True)]
+        keep = pa.array([i for i, x in enumerate(why) if x], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("h").take(keep), b.column("clean").take(keep), pa.array([x for x in why if x], pa.string())], names=["h", "clean", "why"])
+
+
+def _pairs(text: str) -> tuple[tuple[str, str], ...]:
+    return tuple(tuple(x.split(">")) for x in text.split(";") if x)
+
+
+def _repairs(shared, least: float):
+    """(h, how, better): the readings undone in passages that read better without them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, pairs = shared.value
+        reader = Reader(counts)
+        for b in batches:
+            hs, hows = [], []
+            for h, q in zip(b.column("h").to_pylist(), _text_column(b, "norm"), strict=True):
+                new, gain, how = reader.repair(q, pairs)
+                if new != q and gain > least:
+                    hs.append(h)
+                    hows.append(";".join(f"{r}>{w}" for r, w in how))
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(hows, pa.string())], names=["h", "how"])
+
+    return run
+
+
+class Garbled:
+    """What is known of a corpus: ``where`` (id, h), ``verdicts`` (h, how, clean) and the learned ``pairs``."""
+
+    def __init__(self, where: DataFrame, verdicts: DataFrame, pairs: list[tuple[str, str]]):
+        self.where, self.verdicts, self.pairs = where, verdicts, pairs
+
+
+def learn_garbled(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Garbled:
+    """Passages decoded in a wrong character encoding, found by clean near-twins and by what these teach.
+
+    Method: texts are cut into passages at ASCII characters, words with digits made equal; equal passages are counted
+    once. Passages join others on their text without non-ASCII characters (or, where no letters are left, on the places
+    of these); the most frequent of them is taken for clean if it is TWIN_RATIO times as frequent. Aligning the runs of
+    non-ASCII characters of both gives the encodings (right, wrong) that explain the difference; the fewest pairs
+    that explain the twins are learned. Misreadings that leave no ASCII to join on (two-byte encodings) are learned
+    from repairs that read far better. The learned pairs are then undone in all passages without a twin, where the
+    text reads better afterwards, measured by the frequencies of character pairs over all documents, kept in a hashed
+    table of CELLS cells whatever the size of the corpus. A passage with U+FFFD lost characters on reading.
+    """
+    spark = documents.sparkSession
+    ensure_checkpoint_dir(spark)
+    kind = documents.schema[doc_id].dataType.simpleString()
+    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
+    found = rows.mapInArrow(_explode, f"id {kind}, h long, norm string").checkpoint()
+    where = found.select("id", "h")
+    distinct = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).checkpoint()
+
+    table = distinct.mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    counts = np.zeros(CELLS, np.int64)
+    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+
+    plain = F.regexp_replace("norm", r"[^\x00-\x7f]+", "")
+    letters = F.length(F.regexp_replace(plain, r"[^A-Za-z]+", ""))
+    shape = F.regexp_replace("norm", r"[^\x00-\x7f]", "\u00a4")
+    key = F.when(letters >= SKELETON, F.xxhash64(F.lit("s"), plain)).when(F.length(F.regexp_replace(plain, r"\s+", "")) >= SKELETON, F.xxhash64(F.lit("p"), shape)).otherwise(F.xxhash64(F.lit("m"), shape))
+    keyed = distinct.where(F.length("norm") - F.length(plain) > 0).select(key.alias("key"), "h", "n", "norm")
+    clean = keyed.groupBy("key").agg(F.max(F.struct("n", F.col("norm").alias("clean"))).alias("best"), F.count(F.lit(1)).alias("all")).where("all > 1").select("key", "best.*").withColumnRenamed("n", "clean_n")
+    twins = keyed.join(clean, "key").where((F.col("clean_n") >= TWIN_RATIO * F.col("n")) & (F.col("norm") != F.col("clean"))).select("h", "norm", "clean").mapInArrow(_explain_twins, "h long, clean string, why string").checkpoint()
+    votes = [(_pairs(r["why"]), r["count"]) for r in twins.groupBy("why").count().collect()]  # sets of PAIRS, a few hundred
+    pairs = choose(votes)
+
+    wide = spark.sparkContext.broadcast((counts, WIDE_PAIRS))  # fixed size
+    learned = distinct.select("h", "norm").mapInArrow(_repairs(wide, WIDE_GAIN), "h long, how string").select(F.substring_index("how", ";", 1).alias("why")).groupBy("why").count().collect()
+    pairs += [p for p in choose((_pairs(r["why"]), r["count"]) for r in learned) if p not in pairs]
+
+    shared = spark.sparkContext.broadcast((counts, pairs))
+    undone = distinct.select("h", "norm").mapInArrow(_repairs(shared, 0.0), "h long, how string")
+    names = F.array(*(F.lit(f"{r}>{w}") for r, w in pairs)).cast("array<string>")
+    known = twins.where(F.arrays_overlap(F.split("why", ";"), names)).select("h", F.lit(None).cast("string").alias("how"), "clean")
+    lost = distinct.where(F.contains("norm", F.lit(LOST))).select("h", F.lit(None).cast("string").alias("how"), F.lit(None).cast("string").alias("clean"))
+    every = undone.select("h", "how", F.lit(None).cast("string").alias("clean")).unionByName(known).unionByName(lost)
+    verdicts = every.groupBy("h").agg(F.max("how").alias("how"), F.max("clean").alias("clean")).checkpoint()
+    return Garbled(where, verdicts, pairs)
+
+
+def garbled_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id): every document with a passage decoded in a wrong character encoding, once; see :func:`learn_garbled`.
+
+    Defined cases: null, empty and ASCII texts are never garbled; a null id is given like any other; a repeated id is
+    given once; other columns are ignored; an empty table gives no rows.
+    """
+    g = learn_garbled(documents, doc_id=doc_id, text=text)
+    return g.where.join(g.verdicts.select("h"), "h", "left_semi").select(F.col("id").alias(doc_id)).distinct()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, pos, piece, h): a text in pieces that make it up again; ASCII pieces have no hash."""
+    for b in batches:
+        at, pos, pieces, hashes = [], [], [], []
+        for row, text in enumerate(_text_column(b, "text")):
+            for k, p in enumerate(_BREAK.split(text)):
+                at.append(row)
+                pos.append(k)
+                pieces.append(p)
+                hashes.append(None if p.isascii() else xxhash.xxh3_64_intdigest(normal(p).encode("utf-8", "replace")) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(pieces, pa.string()), pa.array(hashes, pa.int64())], names=["id", "pos", "piece", "h"])
+
+
+def refill(piece: str, clean: str) -> str:
+    """``piece`` with the runs of non-ASCII characters of its clean twin; unchanged if they don't match in number."""
+    runs = _RUN.findall(clean)
+    if len(_RUN.findall(piece)) != len(runs):
+        return piece
+    left = iter(runs)
+    return _RUN.sub(lambda m: next(left), piece)
+
+
+@F.arrow_udf(T.StringType())
+def _restore(piece: pa.Array, how: pa.Array, clean: pa.Array) -> pa.Array:
+    out = []
+    for p, h, c in zip(piece.to_pylist(), how.to_pylist(), clean.to_pylist(), strict=True):
+        if c is not None:
+            p = refill(p, c)
+        elif h is not None:
+            for right, wrong in _pairs(h):
+                p = undo(p, right, wrong)
+        out.append(p)
+    return pa.array(out, pa.string())
+
+
+def restored_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, whole): garbled documents with their original text where it can be recovered; ``whole`` says whether no character is lost.
+
+    A passage gets the non-ASCII characters of its clean twin, or has the misreadings undone that :func:`learn_garbled`
+    found in it; anything else stays as it is. ``doc_id`` must be unique. Cases as in :func:`garbled_documents`.
+    """
+    g = learn_garbled(documents, doc_id=doc_id, text=text)
+    kind = documents.schema[doc_id].dataType.simpleString()
+    ids = g.where.join(g.verdicts.select("h"), "h", "left_semi").select("id").distinct()
+    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(ids, "id", "left_semi")
+    pieces = rows.mapInArrow(_pieces, f"id {kind}, pos int, piece string, h long").join(g.verdicts, "h", "left")
+    mended = pieces.withColumn("piece", F.coalesce(_restore(F.when(F.expr("how is not null or clean is not null"), F.col("piece")), "how", "clean"), "piece"))
+    # the pieces of one text
+    joined = mended.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
+    whole = F.array_join(F.col("parts.piece"), "")
+    return joined.select(F.col("id").alias(doc_id), whole.alias("text"), (~F.contains(whole, F.lit(LOST))).alias("whole"))
