@@ -232,7 +232,7 @@ class Reader:
 
 
 def choose(explained: Iterable[tuple[tuple[tuple[str, str], ...], int]], least: int = 3) -> list[tuple[str, str]]:
-    """The fewest (right, wrong) pairs that explain the near-twins: greedily, each explaining ``least`` more of them."""
+    """The fewest (right, wrong) pairs that explain the garbled passages, given with their numbers: greedily, each explaining ``least`` more."""
     left = sorted(explained)
     chosen = []
     while left:
@@ -287,7 +287,7 @@ def _explain_twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         why = [";".join(f"{r}>{w}" for r, w in explain(g, c)) for g, c in zip(_text_column(b, "norm"), _text_column(b, "clean"), strict=True)]
         keep = pa.array([i for i, x in enumerate(why) if x], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("h").take(keep), b.column("clean").take(keep), pa.array([x for x in why if x], pa.string())], names=["h", "clean", "why"])
+        yield pa.RecordBatch.from_arrays([b.column("h").take(keep), b.column("n").take(keep), b.column("clean").take(keep), pa.array([x for x in why if x], pa.string())], names=["h", "n", "clean", "why"])
 
 
 def _pairs(text: str) -> tuple[tuple[str, str], ...]:
@@ -295,19 +295,20 @@ def _pairs(text: str) -> tuple[tuple[str, str], ...]:
 
 
 def _repairs(shared, least: float):
-    """(h, how, better): the readings undone in passages that read better without them."""
+    """(h, n, how): the readings undone in passages that read better without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, pairs = shared.value
         reader = Reader(counts)
         for b in batches:
-            hs, hows = [], []
-            for h, q in zip(b.column("h").to_pylist(), _text_column(b, "norm"), strict=True):
+            hs, ns, hows = [], [], []
+            for h, n, q in zip(b.column("h").to_pylist(), b.column("n").to_pylist(), _text_column(b, "norm"), strict=True):
                 new, gain, how = reader.repair(q, pairs)
                 if new != q and gain > least:
                     hs.append(h)
+                    ns.append(n)
                     hows.append(";".join(f"{r}>{w}" for r, w in how))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(hows, pa.string())], names=["h", "how"])
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(hows, pa.string())], names=["h", "n", "how"])
 
     return run
 
@@ -349,18 +350,19 @@ def learn_garbled(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     key = F.when(letters >= SKELETON, F.xxhash64(F.lit("s"), plain)).when(F.length(F.regexp_replace(plain, r"\s+", "")) >= SKELETON, F.xxhash64(F.lit("p"), shape)).otherwise(F.xxhash64(F.lit("m"), shape))
     keyed = distinct.where(F.length("norm") - F.length(plain) > 0).select(key.alias("key"), "h", "n", "norm")
     clean = keyed.groupBy("key").agg(F.max(F.struct("n", F.col("norm").alias("clean"))).alias("best"), F.count(F.lit(1)).alias("all")).where("all > 1").select("key", "best.*").withColumnRenamed("n", "clean_n")
-    twins = keyed.join(clean, "key").where((F.col("clean_n") >= TWIN_RATIO * F.col("n")) & (F.col("norm") != F.col("clean"))).select("h", "norm", "clean").mapInArrow(_explain_twins, "h long, clean string, why string").checkpoint()
-    votes = [(_pairs(r["why"]), r["count"]) for r in twins.groupBy("why").count().collect()]  # sets of PAIRS, a few hundred
+    twins = keyed.join(clean, "key").where((F.col("clean_n") >= TWIN_RATIO * F.col("n")) & (F.col("norm") != F.col("clean"))).select("h", "n", "norm", "clean").mapInArrow(_explain_twins, "h long, n long, clean string, why string").checkpoint()
+    votes = [(_pairs(r["why"]), r["votes"]) for r in twins.groupBy("why").agg(F.sum("n").alias("votes")).collect()]  # sets of PAIRS, a few hundred
     pairs = choose(votes)
 
     wide = spark.sparkContext.broadcast((counts, WIDE_PAIRS))  # fixed size
-    learned = distinct.select("h", "norm").mapInArrow(_repairs(wide, WIDE_GAIN), "h long, how string").select(F.substring_index("how", ";", 1).alias("why")).groupBy("why").count().collect()
-    pairs += [p for p in choose((_pairs(r["why"]), r["count"]) for r in learned) if p not in pairs]
+    learned = distinct.mapInArrow(_repairs(wide, WIDE_GAIN), "h long, n long, how string").groupBy(F.substring_index("how", ";", 1).alias("why")).agg(F.sum("n").alias("votes")).collect()
+    pairs += [p for p in choose((_pairs(r["why"]), r["votes"]) for r in learned) if p not in pairs]
 
     shared = spark.sparkContext.broadcast((counts, pairs))
-    undone = distinct.select("h", "norm").mapInArrow(_repairs(shared, 0.0), "h long, how string")
+    undone = distinct.mapInArrow(_repairs(shared, 0.0), "h long, n long, how string")
     names = F.array(*(F.lit(f"{r}>{w}") for r, w in pairs)).cast("array<string>")
-    known = twins.where(F.arrays_overlap(F.split("why", ";"), names)).select("h", F.lit(None).cast("string").alias("how"), "clean")
+    # a passage that lost characters needs no more evidence
+    known = twins.where(F.arrays_overlap(F.split("why", ";"), names) | F.contains("why", F.lit(f">{UTF8}"))).select("h", F.lit(None).cast("string").alias("how"), "clean")
     lost = distinct.where(F.contains("norm", F.lit(LOST))).select("h", F.lit(None).cast("string").alias("how"), F.lit(None).cast("string").alias("clean"))
     every = undone.select("h", "how", F.lit(None).cast("string").alias("clean")).unionByName(known).unionByName(lost)
     verdicts = every.groupBy("h").agg(F.max("how").alias("how"), F.max("clean").alias("clean")).checkpoint()
