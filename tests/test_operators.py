@@ -1,0 +1,77 @@
+"""Relational and ordered operators on literal rows and against brute force."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tierlake.operators import relate
+from tierlake.operators.scan import ordered_scan
+
+
+def test_ordered_scan_over_chunks(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "hot", "a", None]), i, r.choice([None, 1, 2, 3]), float(r.randrange(300))) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, id long, v long, at double")
+    got = ordered_scan(df, ["k"], ["at", "id"], F.floor(F.col("at") / 40), row_number="rn", running_sum={"cum": "v"}, previous={"before": "v"}, last_known={"known": "v"})
+    want, state = {}, {}
+    for k, i, v, at in sorted(rows, key=lambda x: (str(x[0]), x[3], x[1])):
+        rn, cum, before, known = state.get(k, (0, 0, None, None))
+        rn, cum, known = rn + 1, cum + (v or 0), known if v is None else v
+        want[i] = (rn, cum, before, known)
+        state[k] = (rn, cum, v, known)
+    assert {x["id"]: (x["rn"], x["cum"], x["before"], x["known"]) for x in got.collect()} == want
+    assert got.columns == ["k", "id", "v", "at", "rn", "cum", "before", "known"]
+    assert ordered_scan(df.limit(0), ["k"], ["at", "id"], F.lit(0), row_number="rn").count() == 0
+    whole = ordered_scan(df, [], ["at", "id"], F.floor(F.col("at") / 40), row_number="rn")
+    assert sorted(x["rn"] for x in whole.collect()) == list(range(1, 601))
+
+
+def test_hysteresis_boundaries(spark):
+    df = spark.createDataFrame([("p", i, x) for i, x in enumerate([0.16, 0.0999, 0.12, 0.15, 0.12])], "k string, at long, x double")
+    df = df.withColumn("s", F.when(F.col("x") < 0.10, 1).when(F.col("x") >= 0.15, 0))
+    out = ordered_scan(df, ["k"], ["at"], F.floor(F.col("at") / 2), last_known={"on": "s"}).orderBy("at").collect()
+    assert [x["on"] for x in out] == [0, 1, 1, 0, 0]
+
+
+def test_roots_and_boundaries(spark):
+    p = spark.createDataFrame([("h", "/data/video/x"), ("h", "/data/video_full/x"), ("g", "/data/video/x"), ("h", "/data/video"), ("h", "/"), (None, None)], "host string, path string")
+    roots = spark.createDataFrame([("h", "/data"), ("h", "/data/video"), ("h", "/data/video")], "host string, root string")
+    out = {(r["host"], r["path"]): r["root"] for r in relate.deepest_root(p, roots, ["host"], "path", "root").collect()}
+    assert out == {("h", "/data/video/x"): "/data/video", ("h", "/data/video_full/x"): "/data", ("g", "/data/video/x"): None, ("h", "/data/video"): "/data/video", ("h", "/"): None, (None, None): None}
+    below = p.where(relate.at_or_below(F.col("path"), "/data/video/")).collect()
+    assert sorted(r["path"] for r in below) == ["/data/video", "/data/video/x", "/data/video/x"]
+
+
+def test_diffs_merges_and_quantifiers(spark):
+    a = spark.createDataFrame([("same", 1), ("gone", 1), ("diff", 1), ("null", None)], "k string, v long")
+    b = spark.createDataFrame([("same", 1), ("new", 1), ("diff", 2), ("null", None)], "k string, v long")
+    assert {r["k"]: r["verdict"] for r in relate.full_diff(a, b, ["k"], "v").collect()} == {"same": "equal", "gone": "missing", "diff": "mismatched", "new": "unexpected", "null": "equal"}
+    x = spark.createDataFrame([("up", 1, "a"), ("down", 3, "a"), ("eq", 2, "a"), ("clash", 2, "a"), ("old", 1, "a")], "k string, r int, v string")
+    y = spark.createDataFrame([("up", 2, "b"), ("down", 2, "b"), ("eq", 2, "a"), ("clash", 2, "b"), ("new", 1, "a")], "k string, r int, v string")
+    assert {r["k"]: r["outcome"] for r in relate.merge_revisions(x, y, "k", "r", ["v"]).collect()} == {"up": "advanced", "down": "stale", "eq": "identical", "clash": "conflict", "old": "kept", "new": "inserted"}
+    children = spark.createDataFrame([("up", 1), ("down", 0), ("down", 1), ("eq", None)], "k string, n int")
+    assert {r["k"]: r["ok"] for r in relate.all_satisfy(x, children, "k", F.col("n") == 0).collect()} == {"up": True, "down": False, "eq": False, "clash": True, "old": True}
+    assert sorted(map(tuple, relate.latest(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), (None, 1, None)], "k string, t int, v string"), ["k"], ["t"]).collect()), key=repr) == [("a", 2, "z"), (None, 1, None)]
+
+
+def test_greedy_windows(spark):
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate([10, 10, 10, 100, 5])] + [("b", 0, 7)], "g string, o int, s long")
+    out = relate.greedy_windows(df, ["g"], F.col("o"), F.col("s"), 2, 25).orderBy("g", "window").collect()
+    assert [tuple(r) for r in out] == [("a", 1, 2, 20), ("a", 2, 1, 10), ("a", 3, 1, 100), ("a", 4, 1, 5), ("b", 1, 1, 7)]
+    r = random.Random(5)
+    sizes = [r.randrange(1, 40) for _ in range(300)]
+    want: list[list[int]] = []
+    for s in sizes:
+        if want and len(want[-1]) < 4 and sum(want[-1]) + s <= 60:
+            want[-1].append(s)
+        else:
+            want.append([s])
+    df = spark.createDataFrame([("g", i, s) for i, s in enumerate(sizes)], "g string, o int, s long")
+    assert [(x["n"], x["total"]) for x in relate.greedy_windows(df, ["g"], F.col("o"), F.col("s"), 4, 60).orderBy("window").collect()] == [(len(w), sum(w)) for w in want]
+
+
+def test_digest_does_not_depend_on_the_order(spark):
+    rows = [("m", f"line {i}") for i in range(100)] + [("n", None), ("m", "line 1")]
+    d = lambda x: {r["k"]: (r["digest"], r["n"]) for r in relate.merkle_digest(spark.createDataFrame(x, "k string, v string"), ["k"], F.col("v")).collect()}
+    a = d(rows)
+    assert a == d(rows[::-1]) and a["m"][1] == 100 and a["m"] != d(rows[1:])["m"]

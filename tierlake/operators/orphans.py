@@ -32,14 +32,32 @@ def removal_deltas(df: DataFrame, target: Column, key: Column) -> DataFrame:
     return df.select(target.alias("target"), key.alias("key"), none.alias("ref_table"), none.alias("period"), _zero("refs"), _zero("rows"), F.lit(1).cast("long").alias("removals"), F.lit(None).cast("timestamp").alias("at")).where("key is not null and target is not null")
 
 
-def key_counts(deltas: DataFrame) -> DataFrame:
-    """Counts per (target, key, ref_table, period): deltas may be signed, so batches of changes can be added to a kept state."""
-    return deltas.groupBy("target", "key", "ref_table", "period").agg(
-        F.sum("refs").alias("refs"), F.sum("rows").alias("rows"), F.sum("removals").alias("removals"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
+def _add_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("target", "key", "ref_table", "period").agg(
+        F.sum("refs").alias("refs"), F.sum("rows").alias("rows"), F.sum("removals").alias("removals"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
     )
 
 
+def key_counts(deltas: DataFrame) -> DataFrame:
+    """Counts per (target, key, ref_table, period) with the earliest and latest time; deltas may be signed."""
+    return _add_up(deltas.withColumns({"first_at": F.col("at"), "last_at": F.col("at")}))
+
+
+def advance_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """A kept state of counts with a batch of changes added, rows that became zero left out.
+
+    A withdrawn reference (-1) lowers the count; the times of what is left stay bounds, as minima can't be taken back.
+    """
+    both = _add_up(counts.unionByName(key_counts(deltas)))
+    return both.where("refs <> 0 or rows <> 0 or removals <> 0")
+
+
 def orphan_references(deltas: DataFrame) -> DataFrame:
+    """The current orphan report of all ``deltas``; see :func:`orphan_report`."""
+    return orphan_report(key_counts(deltas))
+
+
+def orphan_report(counts: DataFrame) -> DataFrame:
     """(ref_table, ref_key, kind, period, n_refs): references whose key does not exist or was created after them.
 
     Method: deltas are added up per (target, key, ref_table, period), which collapses a hot key before it meets its
@@ -51,7 +69,6 @@ def orphan_references(deltas: DataFrame) -> DataFrame:
     late if any was created after the reference; references or rows without a time are never late; counts that add up
     to zero or less are no reference. Empty tables give no rows.
     """
-    counts = key_counts(deltas)
     state = counts.groupBy("target", "key").agg(
         F.sum("rows").alias("rows"),
         F.sum("removals").alias("removals"),
