@@ -70,6 +70,21 @@ def _to_bytes(encoding: str) -> dict[int, int]:
     return {ord(c): b + 128 for b, c in reversed(list(enumerate(_high(encoding))))}
 
 
+@lru_cache(maxsize=None)
+def _characters(encoding: str) -> frozenset[str]:
+    """The non-ASCII characters of an encoding of single bytes."""
+    return frozenset(map(chr, _to_bytes(encoding)))
+
+
+def _may_undo(present: frozenset[str], right: str, wrong: str) -> bool:
+    """Whether a text with these non-ASCII characters can hold any that came from reading ``right`` as ``wrong``."""
+    if wrong in DOUBLE or wrong in WIDE:
+        return max(present) >= "\u2000"
+    if right in DOUBLE:
+        return present <= _characters(wrong)
+    return wrong != UTF8 and not present.isdisjoint(_characters(wrong))
+
+
 @lru_cache(maxsize=None)
 def _char_map(right: str, wrong: str) -> dict[int, str]:
     high = _high(right)
@@ -204,12 +219,21 @@ class Reader:
     def repair(self, text: str, pairs: Iterable[tuple[str, str]]) -> tuple[str, float, tuple[tuple[str, str], ...]]:
         """The text that reads best after undoing wrong readings, by how much better in nats a character pair, and the readings undone; (text, 0, ()) if none helps."""
         now, gain, undone = text, 0.0, ()
+        scores: dict[str, tuple[float, int]] = {}  # several pairs give the same text
+
+        def score(t: str) -> tuple[float, int]:
+            if t not in scores:
+                scores[t] = self.score(t)
+            return scores[t]
+
         for _ in range(ROUNDS):
-            total, n = self.score(now)
+            total, n = score(now)
             if not n:
                 break
-            best = None
+            best, present = None, frozenset(c for c in set(now) if c > "\x7f" and c != LOST)
             for pair in pairs:
+                if not present or not _may_undo(present, *pair):
+                    continue
                 new = undo(now, *pair)
                 if new == now:
                     continue
@@ -217,7 +241,7 @@ class Reader:
                 if pair[0] == UTF8 and (twice := undo(new, *pair)) != new:  # half of a double misreading may be as rare as the whole
                     tries.append((twice, (pair, pair)))
                 for new, how in tries:
-                    t, k = self.score(new)
+                    t, k = score(new)
                     mean = (t / k if k else self.log.max()) - total / n
                     if pair[0] == UTF8:
                         enough = mean > BETTER - PER_SAVED * abs(len(now) - len(new)) and mean * n > BETTER_IN_ALL and mean > 0
