@@ -37,3 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tierlake-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def python_partitions(spark: SparkSession) -> int:
+    """Partitions for rows that go to Python: adaptive execution would merge what takes little space but much time, so the number is given."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
