@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierlake.session import ensure_checkpoint_dir
+from tierlake.session import ensure_checkpoint_dir, python_partitions
 
 #: Encodings a text may have had (right) or been read in (wrong); fixed values.
 SINGLE = "cp1252 latin_1 cp1250 cp1251 cp437 cp850 cp866 mac_roman koi8_r iso8859_2 iso8859_5 iso8859_15 cp852 cp1253 cp1254 mac_cyrillic".split()
@@ -362,7 +362,7 @@ def learn_garbled(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
     found = rows.mapInArrow(_explode, f"id {kind}, h long, norm string").checkpoint()
     where = found.select("id", "h")
-    distinct = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).checkpoint()
+    distinct = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).repartition(python_partitions(spark), "h").checkpoint()
 
     table = distinct.mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
     counts = np.zeros(CELLS, np.int64)
