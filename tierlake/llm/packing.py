@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierlake.session import ensure_checkpoint_dir
+from tierlake.session import ensure_checkpoint_dir, python_partitions
 
 #: Items packed by one task at a time, blocks whose loose containers are packed again together, and the fill below which a container is loose.
 BLOCK_ITEMS, MERGE_BLOCKS, LOOSE = 4096, 64, 0.98
@@ -104,7 +104,7 @@ def pack_containers(items: DataFrame, containers: DataFrame, *, item_id: str = "
     schema = "profile string, capacity int, item_id " + kind + ", piece int, tokens int, block long, bin long, loose boolean"
     level = 0
     while True:
-        packed = todo.select("profile", "capacity", "item_id", "piece", "tokens", "block").groupBy("profile", "block").applyInArrow(_pack(max_items, cost_factor, rule), schema).checkpoint()
+        packed = todo.select("profile", "capacity", "item_id", "piece", "tokens", "block").repartition(python_partitions(spark), "profile", "block").groupBy("profile", "block").applyInArrow(_pack(max_items, cost_factor, rule), schema).checkpoint()
         last = n_blocks == 1
         tight = packed if last else packed.where("not loose")
         result = result.unionByName(tight.withColumn("container_id", name(F.lit(level), "block", "bin")).select(*columns))
