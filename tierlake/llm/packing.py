@@ -22,32 +22,34 @@ def best_fit(tokens: np.ndarray, capacity: int, max_items: int, max_cost: int, r
     or the largest weighted dot product of item and residual (``dot``) is taken, the oldest on ties; else a new one.
     """
     n = len(tokens)
-    scale = np.array([capacity, max_items, max_cost], np.float64)
-    items = np.c_[tokens, np.ones(n), tokens.astype(np.float64) ** 2]
-    w = np.asarray(weights) / scale**2
-    left, ids = np.empty((64, 3)), np.empty(64, np.int64)  # residuals and numbers of open bins
+    scale = (float(capacity), float(max_items), float(max_cost))
+    s0, s1, s2 = (np.sqrt(w) / x for w, x in zip(weights, scale, strict=True))
+    left0, left1, left2, ids = (np.empty(64) for _ in range(4))  # residuals and numbers of open bins
     out, bins, used = np.empty(n, np.int64), 0, 0
-    smallest = tokens[-1] if n else 0
-    for k in range(n):
-        item = items[k]
-        rest = left[:used] - item
-        fits = np.flatnonzero(rest.min(1) >= 0) if used else ()
-        if len(fits):
-            score = -(left[fits] * item) @ w if rule == "dot" else (rest[fits] ** 2) @ w
-            j = fits[np.argmin(score)]
-            left[j] = rest[j]
+    smallest = float(tokens[-1]) if n else 0.0
+    for k, size in enumerate(tokens.astype(np.float64).tolist()):
+        cost = size * size
+        fits = ((left0[:used] >= size) & (left1[:used] >= 1) & (left2[:used] >= cost)).nonzero()[0]
+        if fits.size:
+            if rule == "dot":
+                score = -(left0[fits] * (size * s0 * s0) + left1[fits] * (s1 * s1) + left2[fits] * (cost * s2 * s2))
+            else:
+                d0, d1, d2 = (left0[fits] - size) * s0, (left1[fits] - 1) * s1, (left2[fits] - cost) * s2
+                score = d0 * d0 + d1 * d1 + d2 * d2
+            j = fits[score.argmin()]
+            left0[j] -= size
+            left1[j] -= 1
+            left2[j] -= cost
             out[k] = ids[j]
-        else:
-            if used == len(left):  # drop bins that can take nothing any more before growing
-                live = (left[:used, 0] >= smallest) & (left[:used, 1] >= 1)
-                kept = int(live.sum())
-                left[:kept], ids[:kept] = left[:used][live], ids[:used][live]
-                used = kept
-                if used > len(left) // 2:
-                    left, ids = np.r_[left, np.empty_like(left)], np.r_[ids, np.empty_like(ids)]
-            left[used], ids[used] = scale - item, bins
-            out[k] = bins
-            bins, used = bins + 1, used + 1
+            continue
+        if used == len(left0):  # drop bins that can take nothing any more before growing
+            live = ((left0 >= smallest) & (left1 >= 1)).nonzero()[0]
+            used = len(live)
+            room = np.empty(len(left0) * (2 if used > len(left0) // 2 else 1) - used)
+            left0, left1, left2, ids = (np.concatenate([old[live], room]) for old in (left0, left1, left2, ids))
+        left0[used], left1[used], left2[used], ids[used] = scale[0] - size, scale[1] - 1, scale[2] - cost, bins
+        out[k] = bins
+        bins, used = bins + 1, used + 1
     return out
 
 
