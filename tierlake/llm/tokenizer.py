@@ -104,23 +104,32 @@ class BytePairEncoder:
             i = after[i]
         return ids
 
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of a pre-token that isn't kept yet."""
+        data = piece.encode("utf-8", "replace")
+        ids = self.merge(data)
+        if len(data) <= KEPT_BYTES:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[piece] = ids
+        return ids
+
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens; none for an empty or null text."""
-        if not text:
-            return []
-        kept, out = self.kept, []
-        for piece in self.split(text):
-            ids = kept.get(piece)
-            if ids is None:
-                data = piece.encode("utf-8", "replace")
-                ids = self.merge(data)
-                if len(data) <= KEPT_BYTES:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[piece] = ids
-            out += ids
+        get, out = self.kept.get, []
+        for piece in self.split(text) if text else ():
+            ids = get(piece)
+            out += self._piece(piece) if ids is None else ids
         return out
 
+    def count(self, text: str | None) -> int:
+        """Number of ids, without making a list of them."""
+        get, n = self.kept.get, 0
+        for piece in self.split(text) if text else ():
+            ids = get(piece)
+            n += len(self._piece(piece) if ids is None else ids)
+        return n
+
 
 @lru_cache(maxsize=4)
 def _encoder(vocabulary: bytes, pattern: str) -> BytePairEncoder:
@@ -150,8 +159,8 @@ def _udf(spark: SparkSession, kind: str, path: str | None, pattern: str | None):
 
     @F.arrow_udf("int")
     def count(text: pa.Array) -> pa.Array:
-        encode = _encoder(*shared.value).encode
-        return pa.array((len(encode(x)) for x in text.to_pylist()), pa.int32(), size=len(text))
+        size = _encoder(*shared.value).count
+        return pa.array((size(x) for x in text.to_pylist()), pa.int32(), size=len(text))
 
     return count
 
