@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Encoded pre-tokens kept by a worker, and the longest kept, in bytes.
-KEPT, KEPT_BYTES = 1 << 18, 64
+#: Bytes of encoded pre-tokens kept by a worker (some 100 MB with their ids at most), and of the longest kept.
+KEPT, KEPT_BYTES = 4 << 20, 192
 
 
 class RankQueue:
@@ -60,7 +62,8 @@ class BytePairEncoder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.ranks.values()))
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent pair of smallest rank, leftmost first, is merged until none is left."""
@@ -104,31 +107,80 @@ class BytePairEncoder:
             i = after[i]
         return ids
 
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of a pre-token that isn't kept yet."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-token that isn't kept yet, four bytes each."""
         data = piece.encode("utf-8", "replace")
-        ids = self.merge(data)
+        ids = array("i", self.merge(data)).tobytes()
         if len(data) <= KEPT_BYTES:
-            if len(self.kept) >= KEPT:
+            self.kept_bytes += len(data)
+            if self.kept_bytes > KEPT:
                 self.kept.clear()
+                self.kept_bytes = len(data)
             self.kept[piece] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids without special tokens; none for an empty or null text."""
+    def packed(self, text: str | None) -> bytes:
+        """Ids without special tokens, four bytes each; none for an empty or null text."""
         get, out = self.kept.get, []
         for piece in self.split(text) if text else ():
-            ids = get(piece)
-            out += self._piece(piece) if ids is None else ids
-        return out
+            out.append(get(piece) or self._piece(piece))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        """Ids without special tokens as a list."""
+        return array("i", self.packed(text)).tolist()
+
+
+@lru_cache(maxsize=4)
+def _encoder(vocabulary: bytes, pattern: str) -> BytePairEncoder:
+    return BytePairEncoder(vocabulary, pattern)
 
-    def count(self, text: str | None) -> int:
-        """Number of ids, without making a list of them."""
-        get, n = self.kept.get, 0
+
+def load_vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[bytes, str]:
+    """The vocabulary file (by default the public byte_bpe_50k of the installed tokenizers) and the pattern of pre-tokens."""
+    if path is None or pattern is None:
+        import public_tokenizers
+
+        path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    return Path(path).read_bytes(), pattern
+
+
+def _udf(spark: SparkSession, kind: str, path: str | None, pattern: str | None):
+    shared = spark.sparkContext.broadcast(load_vocabulary(path, pattern))  # under 1 MB, read once on the driver
+
+    if kind == "ids":
+
+        @F.arrow_udf("array<int>")
+        def ids(text: pa.Array) -> pa.Array:
+            each = list(map(_encoder(*shared.value).packed, text.to_pylist()))
+            ends = np.cumsum([0, *map(len, each)]) // 4
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(each))])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-token that isn't kept yet, four bytes each."""
+        data = piece.encode("utf-8", "replace")
+        ids = array("i", self.merge(data)).tobytes()
+        if len(data) <= KEPT_BYTES:
+            self.kept_bytes += len(data)
+            if self.kept_bytes > KEPT:
+                self.kept.clear()
+                self.kept_bytes = len(data)
+            self.kept[piece] = ids
+        return ids
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids without special tokens, four bytes each; none for an empty or null text."""
+        get, out = self.kept.get, []
         for piece in self.split(text) if text else ():
-            ids = get(piece)
-            n += len(self._piece(piece) if ids is None else ids)
-        return n
+            out.append(get(piece) or self._piece(piece))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        """Ids without special tokens as a list."""
+        return array("i", self.packed(text)).tolist()
 
 
 @lru_cache(maxsize=4)
@@ -159,8 +211,8 @@ def _udf(spark: SparkSession, kind: str, path: str | None, pattern: str | None):
 
     @F.arrow_udf("int")
     def count(text: pa.Array) -> pa.Array:
-        size = _encoder(*shared.value).count
-        return pa.array((size(x) for x in text.to_pylist()), pa.int32(), size=len(text))
+        packed = _encoder(*shared.value).packed
+        return pa.array((len(packed(x)) // 4 for x in text.to_pylist()), pa.int32(), size=len(text))
 
     return count
 
