@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tierlake.functions.keys import digest_key, iso_instant, stripped
 from tierlake.operators import relate
+from tierlake.operators.copy_diff import canonical_path
 from tierlake.plans.registry import Registry
+from tierlake.sources.formats import split_valid
 from tierlake.sources.tables import table
 
 R = Registry()
@@ -648,6 +650,122 @@ def unknown(spark: SparkSession, d: str) -> DataFrame:
     return seen.join(table(spark, d, "pages").select("workspace_key"), "workspace_key", "left_anti")
 
 
+
+# --- snapshots, validation and indexes -----------------------------------------------------------------------------------
+
+@R.query(
+    "q_s3_validated",
+    r"""with s as (select distinct workspace_key, host, path, semantic_revision, content_fingerprint, semantic_keywords_json from pages),
+      f as (select unnest([case when coalesce(workspace_key <> host || '|' || path, true) then 'key' end, case when coalesce(semantic_revision < 1, true) then 'revision' end,
+        case when not coalesce(regexp_matches(content_fingerprint, '^[0-9a-f]{64}$'), false) then 'fingerprint' end, case when not coalesce(json_valid(semantic_keywords_json) and starts_with(semantic_keywords_json, '['), false) then 'keywords' end]) as failed from s)
+    select failed, count(*) as n from f where failed is not null group by 1""",
+)
+def validated(spark: SparkSession, d: str) -> DataFrame:
+    """Rows refused by a validated scan, by the check they fail; a check that is null fails."""
+    rows = once(spark, d, "pages", "workspace_key", "host", "path", "semantic_revision", "content_fingerprint", "semantic_keywords_json")
+    words = F.col("semantic_keywords_json")
+    checks = {
+        "key": F.col("workspace_key") == F.concat("host", F.lit("|"), "path"),
+        "revision": F.col("semantic_revision") >= 1,
+        "fingerprint": F.col("content_fingerprint").rlike("^[0-9a-f]{64}$"),
+        "keywords": F.try_parse_json(words).isNotNull() & words.startswith("["),
+    }
+    _, refused = split_valid(rows, checks)
+    return refused.select(F.explode("failed").alias("failed")).groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CANON = "array_to_string(list_filter(string_split(nfc_normalize(relative_path), '/'), lambda s: s not in ('', '.')), '/')"
+
+
+@R.query(
+    "q_s8_tree",
+    f"""with f as (select distinct {_CANON} as p, size_bytes from asset_files), u as (select array_to_string(list_slice(string_split(p, '/'), 1, i), '/') as dir, size_bytes from (select p, size_bytes, unnest(range(1, len(string_split(p, '/')))) as i from f))
+    select dir, count(*) as n_files, cast(sum(size_bytes) as bigint) as n_bytes from u group by 1""",
+)
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """Files and bytes at and below every directory of a snapshot."""
+    f = table(spark, d, "asset_files").select(canonical_path(F.col("relative_path")).alias("p"), "size_bytes").distinct()
+    parts = F.split("p", "/")
+    deep = f.where(F.size(parts) > 1).select("size_bytes", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("dir"))
+    return deep.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("n_bytes"))
+
+
+def _leaf_sql(t: str) -> str:
+    return f"(select source_path, sha256(string_agg(leaf || dg, '' order by leaf)) as digest from (select source_path, h[1:2] as leaf, sha256(string_agg(h, '' order by h)) as dg from (select distinct source_path, sha256({_CANON} || '|' || coalesce(size_bytes::varchar, '')) as h from {t}) group by 1, 2) group by 1)"
+
+
+@R.query(
+    "q_k6_verify",
+    f"select coalesce(a.source_path, b.source_path) as source_path, case when b.digest is null then 'missing' when a.digest is null then 'unexpected' when a.digest = b.digest then 'equal' else 'mismatched' end as verdict from {_leaf_sql('asset_files')} a full join {_leaf_sql('asset_files_mirror')} b on a.source_path = b.source_path",
+)
+def verify(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of two systems verified by one digest each."""
+    line = F.concat_ws("|", canonical_path(F.col("relative_path")), F.coalesce(F.col("size_bytes").cast("string"), F.lit("")))
+    digest = lambda n: relate.merkle_digest(table(spark, d, n), ["source_path"], line).select("source_path", "digest")
+    return relate.full_diff(digest("asset_files"), digest("asset_files_mirror"), ["source_path"], "digest")
+
+
+@R.query(
+    "q_k8_changed",
+    """with a as (select nullif(trim(asset_id, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '') as asset_id, count(*) as n, sum(size_bytes) as b from asset_files group by 1), m as (select nullif(trim(asset_id, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '') as asset_id, count(*) as n, sum(size_bytes) as b from asset_files_mirror group by 1)
+    select a.asset_id, a.n from a left join m on a.asset_id = m.asset_id and a.n = m.n and a.b is not distinct from m.b where a.asset_id is not null and m.asset_id is null""",
+)
+def changed(spark: SparkSession, d: str) -> DataFrame:
+    """What a replica must be sent: assets whose fingerprint it does not have."""
+    stat = lambda n: table(spark, d, n).groupBy(stripped(F.col("asset_id")).alias("asset_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b"))
+    a, m = stat("asset_files").where("asset_id is not null"), stat("asset_files_mirror").select(F.col("asset_id").alias("id"), F.col("n").alias("m"), F.col("b").alias("c"))
+    return a.join(m, (F.col("asset_id") == F.col("id")) & (F.col("n") == F.col("m")) & F.col("b").eqNullSafe(F.col("c")), "left_anti").select("asset_id", "n")
+
+
+@R.query(
+    "q_f9_root_class",
+    """with p as (select distinct host, source_path from object_sources), x as (select distinct host, path from pages where storage_pool = 'ISOLATED')
+    select class, count(*) as n from (select case when p.host <> 'orchard' then 'external' when exists (select 1 from x where x.host = p.host and (p.source_path = x.path or starts_with(p.source_path, x.path || '/'))) then 'isolated' when starts_with(p.source_path, '/pool/') then 'managed' else 'other' end as class from p) group by 1""",
+)
+def root_class(spark: SparkSession, d: str) -> DataFrame:
+    """Paths classified by host, by roots with exceptions and by prefix, first match first."""
+    roots = table(spark, d, "pages").where("storage_pool = 'ISOLATED'").select("host", F.col("path").alias("root"))
+    p = relate.deepest_root(once(spark, d, "object_sources", "host", "source_path"), roots, ["host"], "source_path", "root")
+    kind = F.when(F.col("host") != "orchard", "external").when(F.col("root").isNotNull(), "isolated").when(F.col("source_path").startswith("/pool/"), "managed").otherwise("other")
+    return p.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query(
+    "q_f11_members",
+    """with r as (select distinct path as root from pages where state = 'WARM'), s as (select distinct source_path from object_sources)
+    select source_path from s where exists (select 1 from r where s.source_path = r.root or starts_with(s.source_path, r.root || '/'))""",
+)
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Paths at or below any of a set of roots: a semi-join on exploded ancestors."""
+    roots = table(spark, d, "pages").where("state = 'WARM'").select(F.col("path").alias("up"))
+    s = once(spark, d, "object_sources", "source_path")
+    return s.select("source_path", F.explode(relate.ancestors(F.col("source_path"))).alias("up")).join(roots, "up", "left_semi").select("source_path").distinct()
+
+
+@R.query(
+    "q_a8_histogram",
+    f"select state, age, count(*) as n from (select distinct workspace_key, state, case when updated_at >= {NOW} - 30 * {DAY} then 'month' when updated_at >= {NOW} - 365 * {DAY} then 'year' else 'older' end as age from pages) group by 1, 2",
+)
+def histogram(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("updated_at")
+    age = F.when(at >= NOW - 30 * DAY, "month").when(at >= NOW - 365 * DAY, "year").otherwise("older")
+    return table(spark, d, "pages").select("workspace_key", "state", age.alias("age")).distinct().groupBy("state", "age").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query(
+    "q_j8_index_hits",
+    """with t as (select distinct source_path, relative_path, unnest(string_split_regex(lower(relative_path), '[^a-z0-9]+')) as token from asset_files)
+    select source_path, relative_path from t where token in ('index', 'notes', 'md') group by 1, 2 having count(distinct token) = 3""",
+)
+def index_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Files found through postings of their path's tokens, all terms required."""
+    terms = ("index", "notes", "md")
+    tokens = F.array_distinct(F.split(F.lower("relative_path"), "[^a-z0-9]+"))
+    postings = table(spark, d, "asset_files").select("source_path", "relative_path", F.explode(tokens).alias("token"))
+    hits = postings.where(F.col("token").isin(*terms)).groupBy("source_path", "relative_path").agg(F.count_distinct("token").alias("n"))
+    return hits.where(F.col("n") == len(terms)).select("source_path", "relative_path")
+
+
 def queries():
     return R.queries()
 

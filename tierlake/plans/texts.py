@@ -418,6 +418,27 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return to("depends_on", _PATH).unionByName(to("contains_asset", _ASSET)).distinct().groupBy("kind", "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
+@R.query(
+    "q_l3_one_sided",
+    f"""with h as (select distinct doc_id, regexp_extract(line, '({_PATH})', 1) as owner from {_LINES} where starts_with(line, '# /pool/ws/')),
+      e as (select distinct owner as a, m.name as b from h join {_MENTIONS.format(_PATH)} m using (doc_id) where owner <> '' and m.name <> owner)
+    select a, b from e where not exists (select 1 from e x where x.a = e.b and x.b = e.a)""",
+)
+def one_sided(spark: SparkSession, d: str) -> DataFrame:
+    """Dependencies that the other side doesn't declare."""
+    head = frames(spark, d).where("path <> ''").select("doc_id", F.col("path").alias("a")).distinct()
+    e = mentions(spark, d, _PATH).join(head, "doc_id").where("name <> a").select("a", F.col("name").alias("b")).distinct()
+    back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return e.join(back, ["a", "b"], "left_anti")
+
+
+@R.query("q_t4_asset_search", f"select row_number() over (order by score desc, asset_id) as rank, asset_id, score from (select asset_id, {_weighted_sql({'asset_id': 14, 'original_path': 12, 'classification_reason': 8}, ('kiln', 'review'))} as score from (select distinct asset_id, original_path, classification_reason from assets)) where score > 0 order by rank limit 20")
+def asset_search(spark: SparkSession, d: str) -> DataFrame:
+    score = weighted({"asset_id": 14, "original_path": 12, "classification_reason": 8}, ("kiln", "review"))
+    a = once(spark, d, "assets", "asset_id", "original_path", "classification_reason").select("asset_id", score.alias("score")).where("score > 0")
+    return top_k(a, 20, F.desc("score"), F.asc("asset_id")).select("rank", "asset_id", "score")
+
+
 @R.query(
     "q_g3_index",
     f"""with p as (select distinct path, 1 as rank from pages), m as (select name as path, 2 as rank from {_MENTIONS.format(_PATH)} group by 1 having count(*) >= 2), e as (select distinct split_part(rtrim(workspace_key, '/'), '|', 2) as path, 3 as rank from pager_events where workspace_key is not null)
