@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def python_partitions(spark: SparkSession) -> int:
     """Partitions for rows that go to Python: adaptive execution would merge what takes little space but much time, so the number is given."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, so that they need no path to it."""
+    sc = spark.sparkContext
+    if any(Path(p).name == "tierlake.zip" for p in sc._python_includes):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tierlake-")) / "tierlake.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path(root.name) / f.relative_to(root)))
+    sc.addPyFile(str(target))
