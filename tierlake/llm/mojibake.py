@@ -51,7 +51,7 @@ def passages(text: str) -> list[str]:
 
 def normal(passage: str) -> str:
     """A passage with every word holding a digit as ``0`` and single blanks, so that near-twins become equal."""
-    return _BLANK.sub(" ", _WORD_WITH_DIGIT.sub("0", passage)).strip()
+    return _BLANK.sub(" ", _WORD_WITH_DIGIT.sub("0", passage)).strip(" ")
 
 
 def skeleton(passage: str) -> str:
