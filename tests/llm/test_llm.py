@@ -152,3 +152,24 @@ def test_garbled_documents_are_found_and_restored(spark):
     assert re.sub(r"\d", "0", out[max(bad)]["text"]) == docs[max(bad)][1]
     assert mojibake.garbled_documents(df.limit(0)).count() == 0
     assert mojibake.garbled_documents(df.where("text is null or text = 'plain ASCII'")).count() == 0
+
+
+def test_misreadings_that_occur_once_are_found(spark):
+    """One document a misreading: too few to learn a pair from, but a clean twin or the text itself proves it."""
+    docs = {k: s.format(k) for k, s in enumerate(s for s in CLEAN.values() for _ in range(60))}
+    pl = "Kopia {} wciąż wskazuje dawne położenie węzła."
+    docs |= {len(docs) + k: pl.format(k) for k in range(5)}
+    good = set(docs)
+    once = [(pl, "utf-8", "cp1250"), (CLEAN["en"], "cp1252", "latin-1"), (CLEAN["ja"], "cp932", "cp1252"), (CLEAN["ja"], "euc_jp", "cp1252"), (CLEAN["de"], "utf-8", "iso8859-2")]
+    want = {}
+    for text, right, wrong in once:
+        want[len(docs)] = text.format(70)
+        docs[len(docs)] = text.format(70).encode(right).decode(wrong, "strict" if right == "utf-8" else "replace")
+    # a letter for another is a word of its own, not a misreading that occurs once
+    docs |= {len(docs) + k: f"Die Prüfung von {k} ist größer." for k in range(4)}
+    docs[len(docs)] = "Die Präfung von 9 ist größer."
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert good.isdisjoint(want)
+    assert {r[0] for r in mojibake.garbled_documents(df).collect()} == set(want)
+    out = {r["doc_id"]: r["text"] for r in mojibake.restored_documents(df).collect()}
+    assert all(out[i] == want[i] for i in want if "�" not in docs[i])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -36,6 +37,7 @@ PER_SAVED = 0.15
 MAPPED, MAPPED_IN_ALL = 2.0, 14.0
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_TWO = re.compile(r"[^\x00-\x7f]{2}")
 _LETTERS = re.compile(r"[A-Za-z]")
 _WORD_WITH_DIGIT = re.compile(r"[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*")
 _BREAK = re.compile(r"(\n+|(?<=[.:;])[ \t]+)")
@@ -190,6 +192,14 @@ def explain(garbled: str, clean: str) -> list[tuple[str, str]]:
     return found
 
 
+def sure(garbled: str, clean: str, pairs: Iterable[tuple[str, str]]) -> bool:
+    """Whether ``clean`` proves by itself that ``garbled`` was misread, as any but one letter in place of another does: words differ by that too."""
+    if any(UTF8 in p or p[0] in DOUBLE for p in pairs):
+        return True
+    swapped = {(x, y) for x, y in zip(garbled, clean, strict=True) if x != y}
+    return len(swapped) > 1 or any(unicodedata.category(c)[0] != "L" for c in min(swapped))
+
+
 def _collapse(text: str) -> str:
     return _LOSS.sub(LOST, text)
 
@@ -231,8 +241,9 @@ class Reader:
             if not n:
                 break
             best, present = None, frozenset(c for c in set(now) if c > "\x7f" and c != LOST)
+            sequences = _TWO.search(now) is not None  # of single bytes that may make up UTF-8
             for pair in pairs:
-                if not present or not _may_undo(present, *pair):
+                if not present or (pair[0] == UTF8 and not sequences and pair[1] in SINGLE) or not _may_undo(present, *pair):
                     continue
                 new = undo(now, *pair)
                 if new == now:
@@ -274,8 +285,10 @@ def choose(explained: Iterable[tuple[tuple[tuple[str, str], ...], int]], least:
 
 #: Characters that a skeleton needs to be joined on; a clean twin is this many times as frequent as the garbled one.
 SKELETON, TWIN_RATIO = 4, 3
-#: What a repair must gain for a pair of WIDE_PAIRS to be learned, in nats a character pair.
+#: What a repair must gain to be made, and its pair to be learned, without a pair learned before, in nats a character pair.
 WIDE_GAIN = 2.5
+#: Pairs that are tried so whether or not a twin shows them: sequences of UTF-8 and of two bytes hardly arise by chance.
+STRONG_PAIRS = WIDE_PAIRS + [(UTF8, w) for w in SINGLE]
 
 
 def _text_column(b: pa.RecordBatch, name: str) -> list[str | None]:
@@ -309,9 +322,12 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _explain_twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        why = [";".join(f"{r}>{w}" for r, w in explain(g, c)) for g, c in zip(_text_column(b, "norm"), _text_column(b, "clean"), strict=True)]
-        keep = pa.array([i for i, x in enumerate(why) if x], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("h").take(keep), b.column("n").take(keep), b.column("clean").take(keep), pa.array([x for x in why if x], pa.string())], names=["h", "n", "clean", "why"])
+        texts = list(zip(_text_column(b, "norm"), _text_column(b, "clean"), strict=True))
+        why = [explain(g, c) for g, c in texts]
+        keep = [i for i, x in enumerate(why) if x]
+        at = pa.array(keep, pa.int64())
+        names = pa.array([";".join(f"{r}>{w}" for r, w in why[i]) for i in keep], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column("h").take(at), b.column("n").take(at), b.column("clean").take(at), names, pa.array([sure(*texts[i], why[i]) for i in keep], pa.bool_())], names=["h", "n", "clean", "why", "sure"])
 
 
 def _pairs(text: str) -> tuple[tuple[str, str], ...]:
@@ -319,20 +335,21 @@ def _pairs(text: str) -> tuple[tuple[str, str], ...]:
 
 
 def _repairs(shared, least: float):
-    """(h, n, how): the readings undone in passages that read better without them."""
+    """(h, n, how, gain): the readings undone in passages that read better without them, and by how much."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, pairs = shared.value
         reader = Reader(counts)
         for b in batches:
-            hs, ns, hows = [], [], []
+            hs, ns, hows, gains = [], [], [], []
             for h, n, q in zip(b.column("h").to_pylist(), b.column("n").to_pylist(), _text_column(b, "norm"), strict=True):
                 new, gain, how = reader.repair(q, pairs)
                 if new != q and gain > least:
                     hs.append(h)
                     ns.append(n)
                     hows.append(";".join(f"{r}>{w}" for r, w in how))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(hows, pa.string())], names=["h", "n", "how"])
+                    gains.append(gain)
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(hows, pa.string()), pa.array(gains, pa.float64())], names=["h", "n", "how", "gain"])
 
     return run
 
@@ -351,8 +368,9 @@ def learn_garbled(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     once. Passages join others on their text without non-ASCII characters (or, where no letters are left, on the places
     of these); the most frequent of them is taken for clean if it is TWIN_RATIO times as frequent. Aligning the runs of
     non-ASCII characters of both gives the encodings (right, wrong) that explain the difference; the fewest pairs
-    that explain the twins are learned. Misreadings that leave no ASCII to join on (two-byte encodings) are learned
-    from repairs that read far better. The learned pairs are then undone in all passages without a twin, where the
+    that explain the twins are learned. A twin is proof by itself (:func:`sure`), however often its pair occurs, and so is
+    a repair that gains WIDE_GAIN by one of STRONG_PAIRS or by a pair that any twin shows; misreadings that leave no
+    ASCII to join on (two-byte encodings) are found and learned from the latter. The learned pairs are then undone in all passages without a twin, where the
     text reads better afterwards, measured by the frequencies of character pairs over all documents, kept in a hashed
     table of CELLS cells whatever the size of the corpus. A passage with U+FFFD lost characters on reading.
     """
@@ -374,22 +392,25 @@ def learn_garbled(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     key = F.when(letters >= SKELETON, F.xxhash64(F.lit("s"), plain)).when(F.length(F.regexp_replace(plain, r"\s+", "")) >= SKELETON, F.xxhash64(F.lit("p"), shape)).otherwise(F.xxhash64(F.lit("m"), shape))
     keyed = distinct.where(F.length("norm") - F.length(plain) > 0).select(key.alias("key"), "h", "n", "norm")
     clean = keyed.groupBy("key").agg(F.max(F.struct("n", F.col("norm").alias("clean"))).alias("best"), F.count(F.lit(1)).alias("all")).where("all > 1").select("key", "best.*").withColumnRenamed("n", "clean_n")
-    twins = keyed.join(clean, "key").where((F.col("clean_n") >= TWIN_RATIO * F.col("n")) & (F.col("norm") != F.col("clean"))).select("h", "n", "norm", "clean").mapInArrow(_explain_twins, "h long, n long, clean string, why string").checkpoint()
+    twins = keyed.join(clean, "key").where((F.col("clean_n") >= TWIN_RATIO * F.col("n")) & (F.col("norm") != F.col("clean"))).select("h", "n", "norm", "clean").mapInArrow(_explain_twins, "h long, n long, clean string, why string, sure boolean").checkpoint()
     votes = [(_pairs(r["why"]), r["votes"]) for r in twins.groupBy("why").agg(F.sum("n").alias("votes")).collect()]  # sets of PAIRS, a few hundred
     pairs = choose(votes)
 
-    wide = spark.sparkContext.broadcast((counts, WIDE_PAIRS))  # fixed size
-    learned = distinct.mapInArrow(_repairs(wide, WIDE_GAIN), "h long, n long, how string").groupBy(F.substring_index("how", ";", 1).alias("why")).agg(F.sum("n").alias("votes")).collect()
+    # what is proof by itself is tried with every pair that twins show, learned or not
+    rare = sorted({p for why, _ in votes for p in why} - set(STRONG_PAIRS))
+    strong = spark.sparkContext.broadcast((counts, STRONG_PAIRS + rare))  # at most PAIRS and WIDE_PAIRS
+    proven = distinct.mapInArrow(_repairs(strong, WIDE_GAIN), "h long, n long, how string, gain double").checkpoint()
+    learned = proven.groupBy(F.substring_index("how", ";", 1).alias("why")).agg(F.sum("n").alias("votes")).collect()
     pairs += [p for p in choose((_pairs(r["why"]), r["votes"]) for r in learned) if p not in pairs]
 
     shared = spark.sparkContext.broadcast((counts, pairs))
-    undone = distinct.mapInArrow(_repairs(shared, 0.0), "h long, n long, how string")
+    undone = distinct.mapInArrow(_repairs(shared, 0.0), "h long, n long, how string, gain double").unionByName(proven)
     names = F.array(*(F.lit(f"{r}>{w}") for r, w in pairs)).cast("array<string>")
     # a passage that lost characters needs no more evidence
-    known = twins.where(F.arrays_overlap(F.split("why", ";"), names) | F.contains("why", F.lit(f">{UTF8}"))).select("h", F.lit(None).cast("string").alias("how"), "clean")
-    lost = distinct.where(F.contains("norm", F.lit(LOST))).select("h", F.lit(None).cast("string").alias("how"), F.lit(None).cast("string").alias("clean"))
-    every = undone.select("h", "how", F.lit(None).cast("string").alias("clean")).unionByName(known).unionByName(lost)
-    verdicts = every.groupBy("h").agg(F.max("how").alias("how"), F.max("clean").alias("clean")).checkpoint()
+    known = twins.where(F.col("sure") | F.arrays_overlap(F.split("why", ";"), names)).select("h", F.lit(None).cast("double").alias("gain"), F.lit(None).cast("string").alias("how"), "clean")
+    lost = distinct.where(F.contains("norm", F.lit(LOST))).select("h", F.lit(None).cast("double").alias("gain"), F.lit(None).cast("string").alias("how"), F.lit(None).cast("string").alias("clean"))
+    every = undone.select("h", "gain", "how", F.lit(None).cast("string").alias("clean")).unionByName(known).unionByName(lost)
+    verdicts = every.groupBy("h").agg(F.max(F.struct("gain", "how")).getField("how").alias("how"), F.max("clean").alias("clean")).checkpoint()
     return Garbled(where, verdicts, pairs)
 
 
