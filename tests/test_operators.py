@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tierlake.operators import relate
 from tierlake.operators.scan import ordered_scan
+from tierlake.plans import sequences
 
 
 def test_ordered_scan_over_chunks(spark):
@@ -70,6 +71,38 @@ def test_greedy_windows(spark):
     assert [(x["n"], x["total"]) for x in relate.greedy_windows(df, ["g"], F.col("o"), F.col("s"), 4, 60).orderBy("window").collect()] == [(len(w), sum(w)) for w in want]
 
 
+def greedy_by_hand(rows, most, room):
+    """(key, window, n, total) of (key, order, size)."""
+    out = []
+    for key, _, size in sorted(rows, key=lambda x: (repr(x[0]), x[1])):
+        if out and out[-1][0] == key and out[-1][2] < most and None not in (size, out[-1][3]) and out[-1][3] + size <= room:
+            out[-1][2:] = [out[-1][2] + 1, out[-1][3] + size]
+        else:
+            out.append([key, out[-1][1] + 1 if out and out[-1][0] == key else 1, 1, size])
+    return sorted(map(tuple, out), key=repr)
+
+
+def test_greedy_windows_over_many_blocks(spark):
+    """A hot key spans many blocks, others lie within one; windows that never meet, windows cut by size, null and large sizes."""
+    r = random.Random(9)
+    for biggest, most in ((2, 7), (40, 4), (90, 50), (5, 1)):
+        rows = [("hot" if r.random() < 0.6 else r.choice([None, "a", "b", f"k{r.randrange(300)}"]), i, r.choice([None, 0, 1000]) if r.random() < 0.02 else r.randrange(biggest)) for i in range(1500)]
+        want = greedy_by_hand(rows, most, 100)
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "g string, o int, s long")
+        got = relate.greedy_windows(df, ["g"], F.col("o"), F.col("s"), most, 100)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+        assert relate.greedy_windows(df.limit(0), ["g"], F.col("o"), F.col("s"), most, 100).count() == 0
+
+
+def test_upload_windows_are_one_sequence_a_state(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(f"{r.getrandbits(256):064x}", r.randrange(1 << 25), r.choice(["REGISTERED", "STAGED"])) for _ in range(400)]
+    spark.createDataFrame(rows + rows[:9], "digest string, plain_bytes long, cloud_state string").write.parquet(f"{tmp_path}/objects.parquet")
+    got = sequences.queries()["q_w6_greedy_windows"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == greedy_by_hand([(state, (-n, digest), n) for digest, n, state in rows], 8, 64 << 20)
+
+
 def test_digest_does_not_depend_on_the_order(spark):
     rows = [("m", f"line {i}") for i in range(100)] + [("n", None), ("m", "line 1")]
     d = lambda x: {r["k"]: (r["digest"], r["n"]) for r in relate.merkle_digest(spark.createDataFrame(x, "k string, v string"), ["k"], F.col("v")).collect()}

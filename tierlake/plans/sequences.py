@@ -86,9 +86,9 @@ def supersession(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("q_w6_greedy_windows")
 def greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Upload windows of at most WINDOW_ITEMS objects and WINDOW_BYTES bytes, in groups of bounded size by the first digits of the digest."""
-    o = once(spark, d, "objects", "digest", "plain_bytes", "cloud_state").withColumn("shard", F.substring("digest", 1, 3))
-    return relate.greedy_windows(o, ["cloud_state", "shard"], F.struct(-F.col("plain_bytes"), F.col("digest")), F.col("plain_bytes"), WINDOW_ITEMS, WINDOW_BYTES)
+    """Upload windows of at most WINDOW_ITEMS objects and WINDOW_BYTES bytes, one sequence a state."""
+    o = once(spark, d, "objects", "digest", "plain_bytes", "cloud_state")
+    return relate.greedy_windows(o, ["cloud_state"], F.struct(-F.col("plain_bytes"), F.col("digest")), F.col("plain_bytes"), WINDOW_ITEMS, WINDOW_BYTES)
 
 
 @R.query(
