@@ -52,6 +52,13 @@ def test_features_of_nothing(spark, types):
     assert entity_features(events(spark, [(1, 1.0, "a", "X")]), types.limit(0)).collect()[0]["n_unlisted"] == 1
 
 
+def test_events_without_an_id_count_each(spark, types):
+    rows = [(None, 1.0, "w", "SYNC"), (None, 2.0, "w/", "SYNC"), (None, 2.0, "w/", "SYNC"), (None, None, "w", "PIN"), (None, 5.0, "v", "SYNC"), (-(1 << 63), 3.0, "v", "SYNC"), (None, 5.0, None, "SYNC")]
+    df = events(spark, rows).withColumn("more", F.create_map(F.lit("a"), F.col("at")))
+    out = {r["workspace_key"]: (r["n_total"], r["n_sync"], r["first_at"], r["last_sync"], r["n_pin"], r["last_pin"]) for r in entity_features(df, types).collect()}
+    assert out == {"w": (3, 2, 1.0, 2.0, 1, None), "v": (2, 2, 3.0, 5.0, 0, None)}
+
+
 FILES = "source_path string, relative_path string, size_bytes long, mtime_ns long, asset_id string, side string, bucket long"
 
 

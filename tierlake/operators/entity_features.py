@@ -148,7 +148,8 @@ def entity_features(
     Defined cases: an entity that is null, blank or only slashes gets no row; event names count without regard to letter
     case and blanks around them; a null or unlisted event counts in ``n_total`` and ``n_unlisted``; a null or NaN time
     counts but has no recency (a type without timed events has a null ``last_``); an id that comes with different rows
-    counts by its smallest (entity, time, type); a null id is one id. Other columns are ignored. An empty table gives no rows.
+    counts by its smallest (entity, time, type); events without an id count once each, exact repeats of the whole row aside.
+    Other columns are ignored otherwise. An empty table gives no rows.
     """
     spark = events.sparkSession
     names = sorted({r[0] for r in event_types.select(label(F.col(type_col))).distinct().limit(MAX_TYPES + 1).collect() if r[0]})
@@ -156,13 +157,21 @@ def entity_features(
         raise ValueError(f"more than {MAX_TYPES} event types")
     # at most MAX_TYPES rows, checked above
     index = F.broadcast(spark.createDataFrame([(t, k) for k, t in enumerate(names)], "__name string, type int"))
-    rows = (
-        events.select(F.col(id_col).alias("id"), workspace_key(F.col(entity)).alias("entity"), F.col(at).cast("double").alias("at"), label(F.col(event)).alias("__name"))
-        .where("entity is not null")
-        .join(index, "__name", "left")
-        .select(F.coalesce("id", F.lit(-(1 << 63))).cast("long").alias("id"), "entity", F.when(~F.isnan("at"), F.col("at")).alias("at"), F.coalesce("type", F.lit(len(names))).alias("type"))
-    )
-    partial = rows.repartition("id").sortWithinPartitions("id", "entity", "at", "type").mapInArrow(_partial(len(names)), "entity string, type int, n long, first double, last double")
+
+    def typed(df: DataFrame) -> DataFrame:
+        return (
+            df.select(F.col(id_col).cast("long").alias("id"), workspace_key(F.col(entity)).alias("entity"), F.col(at).cast("double").alias("at"), label(F.col(event)).alias("__name"))
+            .where("entity is not null")
+            .join(index, "__name", "left")
+            .select("id", "entity", F.when(~F.isnan("at"), F.col("at")).alias("at"), F.coalesce("type", F.lit(len(names))).alias("type"))
+        )
+
+    # maps and variants can't be compared but as text
+    whole = [F.col(f"`{c}`").cast("string").alias(c) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in events.dtypes]
+    unnamed = typed(events.where(F.col(id_col).isNull()).select(*whole).distinct()).groupBy("entity", "type")
+    unnamed = unnamed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("at"), F.lit(float("inf"))).alias("first"), F.coalesce(F.max("at"), F.lit(float("-inf"))).alias("last"))
+    rows = typed(events.where(F.col(id_col).isNotNull()))
+    partial = rows.repartition("id").sortWithinPartitions("id", "entity", "at", "type").mapInArrow(_partial(len(names)), "entity string, type int, n long, first double, last double").unionByName(unnamed)
     fields = [("n_total", T.LongType()), ("n_types", T.LongType()), ("n_unlisted", T.LongType()), ("first_at", T.DoubleType()), ("last_at", T.DoubleType())]
     fields += [f for n, last in feature_names(names) for f in ((n, T.LongType()), (last, T.DoubleType()))]
     schema = T.StructType([T.StructField(entity, T.StringType()), *(T.StructField(n, t) for n, t in fields)])
