@@ -80,6 +80,12 @@ def test_differences_of_two_copies(spark):
     )
 
 
+def test_differences_of_keys_with_several_values(spark):
+    a = files(spark, [("s", "p", n, 1) for n in (1, 5, 9)] + [("s", "q", n, 1) for n in (1, 5, 9)] + [("s", "r", 1, t) for t in (None, 3, 4, 8)])
+    b = files(spark, [("s", "p", n, 1) for n in (1, 7, 9, 9)] + [("s", "q", n, 1) for n in (9, 9, 5, 1)] + [("s", "r", 1, t) for t in (None, 3, 8)])
+    assert sorted(map(tuple, copy_differences(a, b).collect())) == [("s", "p", "size_bytes"), ("s", "r", "mtime_ns")]
+
+
 def test_differences_of_empty_copies(spark):
     assert differences(files(spark, []), files(spark, [])) == []
     assert differences(files(spark, []), files(spark, [("m", "a", 1, 1), ("m", "a", 1, 1)])) == [("m", "a", "missing_in_primary")]

@@ -70,7 +70,8 @@ def copy_differences(
 
     Defined cases: relative paths are compared and given in NFC without empty and ``.`` segments; null keys equal each
     other; null differs from every value but null; repeats are no difference; a key that one copy holds with different
-    values is compared by its smallest and largest value and the presence of null; other columns, and extra columns of
+    values is compared by its smallest and largest value, the presence of null and the sum of the hashes of its distinct
+    values; other columns, and extra columns of
     any name, are ignored. Two empty copies give no rows.
     """
     source, relative = keys
@@ -99,9 +100,12 @@ def copy_differences(
         for v in values:
             x = F.when(mine, F.col(v))
             stats += [F.min(x).alias(f"{v}_lo{tag}"), F.max(x).alias(f"{v}_hi{tag}"), F.max(mine & F.col(v).isNull()).alias(f"{v}_null{tag}")]
+    for v in values:  # the distinct values of one side against those of the other
+        h = F.xxhash64(F.lit(3), F.col(v).isNull(), v).cast("decimal(20,0)")
+        stats.append(F.sum_distinct(F.when(F.col("side") == 0, h).otherwise(-h)).alias(f"{v}_sum"))
     compared = read.groupBy("k0", "k1").agg(*stats)
     found = [F.when(~F.col("has1"), F.lit("missing_in_mirror")), F.when(~F.col("has0"), F.lit("missing_in_primary"))]
     for c, v in zip(columns, values, strict=True):
-        same = F.col(f"{v}_lo0").eqNullSafe(F.col(f"{v}_lo1")) & F.col(f"{v}_hi0").eqNullSafe(F.col(f"{v}_hi1")) & (F.col(f"{v}_null0") == F.col(f"{v}_null1"))
+        same = F.col(f"{v}_lo0").eqNullSafe(F.col(f"{v}_lo1")) & F.col(f"{v}_hi0").eqNullSafe(F.col(f"{v}_hi1")) & (F.col(f"{v}_null0") == F.col(f"{v}_null1")) & (F.col(f"{v}_sum") == 0)
         found.append(F.when(F.col("has0") & F.col("has1") & ~same, F.lit(c)))
     return compared.select(F.col("k0").alias(source), F.col("k1").alias(relative), F.explode(F.array_compact(F.array(*found))).alias("difference"))
