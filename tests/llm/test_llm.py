@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierlake.llm import mojibake
-from tierlake.llm.packing import best_fit, pack_containers
+from tierlake.llm.packing import best_fit, fill_report, pack_containers
 from tierlake.llm.runs import collapse_runs
 from tierlake.llm.tokenizer import BytePairEncoder, load_vocabulary, token_count, token_ids
 
@@ -118,6 +118,15 @@ def test_packing_keeps_every_item(spark):
         pack_containers(items, spark.createDataFrame([("a", 0)], "profile string, capacity_tokens int"))
 
 
+def test_packing_of_repeated_and_null_ids(spark):
+    items = spark.createDataFrame([(1, 25), (1, 25), (None, 10), (None, 10), (None, 31)], "doc_id long, n_tokens int")
+    boxes = spark.createDataFrame([("a", 10)], "profile string, capacity_tokens int")
+    out = pack_containers(items, boxes)
+    fill = {r["container_id"]: r["n"] for r in out.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert max(fill.values()) <= 10 and sum(fill.values()) == 101
+    assert fill_report(out).collect()[0]["n_containers"] == len(fill) == 11
+
+
 CLEAN = {"de": "Die Größe der Sicherung beträgt {} GB, der Prüfwert stimmt überein.", "fr": "La vérification nocturne a duré {} minutes et a ignoré les dossiers inchangés.", "ru": "Рабочая область не менялась {} дней, снимок совпадает с деревом.", "ja": "接続が{}回切れましたが、分割データの並びは無事です。", "en": "We don’t evict it before a restore drill has passed — the last one is {} days old."}
 
 

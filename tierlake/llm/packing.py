@@ -82,7 +82,7 @@ def pack_containers(items: DataFrame, containers: DataFrame, *, item_id: str = "
 
     Defined cases: an item of no tokens (an empty or null text) is given with a null container; an item as long as
     the capacity fills a container; a null or non-positive capacity is refused; an item that alone breaks a
-    constraint on cost gets a container of its own; a repeated id is packed once a row, its rows being told apart by nothing. No items give no rows.
+    constraint on cost gets a container of its own; a repeated or null id is packed once a row, and its rows never share a full container. No items give no rows.
     """
     spark = items.sparkSession
     ensure_checkpoint_dir(spark)
@@ -90,18 +90,18 @@ def pack_containers(items: DataFrame, containers: DataFrame, *, item_id: str = "
     if len(profiles) > MAX_PROFILES or any(c is None or c < 1 for _, c in profiles):
         raise ValueError("capacities must be positive, in a bounded number of profiles")
     each = F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity")) for p, c in sorted(profiles, key=repr))) if profiles else F.array().cast("array<struct<profile:string,capacity:int>>")
-    sized = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("n")).checkpoint()
+    sized = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("n"), F.monotonically_increasing_id().alias("row")).checkpoint()  # which fixes the rows' numbers
     n_blocks = max(1, -(-sized.where("n > 0").count() // block_items))
-    wide = sized.select("item_id", "n", F.inline(each))
+    wide = sized.select("item_id", "row", "n", F.inline(each))
     step = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("capacity")).cast("int"))).otherwise(F.array(F.lit(0)))
-    pieces = wide.select("profile", "capacity", "item_id", "n", F.explode(step).alias("piece"))
-    pieces = pieces.select("profile", "capacity", "item_id", "piece", F.least(F.col("capacity"), F.col("n") - F.col("piece") * F.col("capacity")).alias("tokens"))
+    pieces = wide.select("profile", "capacity", "item_id", "row", "n", F.explode(step).alias("piece"))
+    pieces = pieces.select("profile", "capacity", "item_id", "row", "piece", F.least(F.col("capacity"), F.col("n") - F.col("piece") * F.col("capacity")).alias("tokens"))
     name = lambda *parts: F.concat_ws("-", "profile", *parts)
     # a full piece is packed already; an empty item needs no container
-    alone = pieces.where("tokens = capacity or tokens = 0").withColumn("container_id", F.when(F.col("tokens") > 0, name(F.lit("full"), "item_id", "piece")))
+    alone = pieces.where("tokens = capacity or tokens = 0").withColumn("container_id", F.when(F.col("tokens") > 0, name(F.lit("full"), "item_id", "row", "piece")))
     columns = ["profile", "container_id", "item_id", "piece", "tokens", "capacity"]
     result = alone.select(*columns)
-    todo = pieces.where("tokens > 0 and tokens < capacity").withColumn("block", F.pmod(F.xxhash64("item_id", "piece"), F.lit(n_blocks)))
+    todo = pieces.where("tokens > 0 and tokens < capacity").withColumn("block", F.pmod(F.xxhash64("item_id", "piece", F.when(F.col("item_id").isNull(), F.col("row"))), F.lit(n_blocks)))
     kind = items.schema[item_id].dataType.simpleString()
     schema = "profile string, capacity int, item_id " + kind + ", piece int, tokens int, block long, bin long, loose boolean"
     level = 0
