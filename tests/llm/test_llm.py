@@ -121,10 +121,32 @@ def test_packing_keeps_every_item(spark):
 def test_packing_of_repeated_and_null_ids(spark):
     items = spark.createDataFrame([(1, 25), (1, 25), (None, 10), (None, 10), (None, 31)], "doc_id long, n_tokens int")
     boxes = spark.createDataFrame([("a", 10)], "profile string, capacity_tokens int")
-    out = pack_containers(items, boxes)
+    out = pack_containers(items, boxes).cache()
     fill = {r["container_id"]: r["n"] for r in out.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).collect()}
     assert max(fill.values()) <= 10 and sum(fill.values()) == 101
-    assert fill_report(out).collect()[0]["n_containers"] == len(fill) == 11
+    report = fill_report(out, boxes).collect()[0]
+    assert (report["n_containers"], report["n_tokens"], report["n_least"], report["over_full"]) == (len(fill), 101, 11, 0) and len(fill) == 11
+
+
+def test_packing_under_every_capacity(spark):
+    """Limits on items and cost bind, also for items that are longer than the cost of a container allows."""
+    r = random.Random(7)
+    sizes = [r.choice([1, 2, 3, 40, 63, 64, 99, 100, 250, r.randrange(1, 100)]) for _ in range(700)]
+    items = spark.createDataFrame([(r.choice([None, 1, i]), n) for i, n in enumerate(sizes)], "doc_id long, n_tokens int")
+    boxes = spark.createDataFrame([("a", 100)], "profile string, capacity_tokens int")
+    for rule in ("norm", "dot"):
+        out = pack_containers(items, boxes, max_items=3, cost_factor=0.4, rule=rule, block_items=64).cache()
+        each = {}
+        for x in out.collect():
+            each.setdefault(x["container_id"], []).append(x["n_tokens"])
+        assert sum(map(sum, each.values())) == sum(sizes)
+        assert all(sum(c) <= 100 and len(c) <= 3 and sum(n * n for n in c) <= 4000 for c in each.values())
+        report = fill_report(out, boxes, max_items=3, cost_factor=0.4).collect()[0]
+        assert report["over_full"] == 0 and report["n_least"] <= report["n_containers"] == len(each)
+    with pytest.raises(ValueError):
+        pack_containers(items, boxes, max_items=0)
+    with pytest.raises(ValueError):
+        pack_containers(items, boxes, cost_factor=0.0)
 
 
 CLEAN = {"de": "Die Größe der Sicherung beträgt {} GB, der Prüfwert stimmt überein.", "fr": "La vérification nocturne a duré {} minutes et a ignoré les dossiers inchangés.", "ru": "Рабочая область не менялась {} дней, снимок совпадает с деревом.", "ja": "接続が{}回切れましたが、分割データの並びは無事です。", "en": "We don’t evict it before a restore drill has passed — the last one is {} days old."}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,13 +60,16 @@ def _pack(max_items: int | None, cost_factor: float, rule: str):
         t = t.sort_by([("tokens", "descending"), ("item_id", "ascending"), ("piece", "ascending")])
         tokens = t["tokens"].to_numpy()
         capacity = t["capacity"][0].as_py()
-        bins = best_fit(tokens, capacity, max_items or max(1, capacity), int(cost_factor * capacity * capacity), rule)
-        fill, count = np.bincount(bins, weights=tokens), np.bincount(bins)
+        most, cost = max_items or max(1, capacity), int(cost_factor * capacity * capacity)
+        bins = best_fit(tokens, capacity, most, cost, rule)
+        count = np.bincount(bins)
+        used = (np.bincount(bins, weights=tokens) / capacity, count / most, np.bincount(bins, weights=tokens.astype(np.float64) ** 2) / max(1, cost))
+        fill = np.maximum.reduce(used)  # a container is as full as its scarcest capacity
         # the emptiest bin, and more while they hold a small share of the items, so that merged blocks stay as small as blocks
         order = np.argsort(fill, kind="stable")
         loose = np.zeros(len(fill), bool)
         loose[order] = (np.cumsum(count[order]) * MERGE_BLOCKS <= len(tokens)) | (np.arange(len(fill)) == 0)
-        loose &= fill < LOOSE * capacity
+        loose &= fill < LOOSE
         return t.append_column("bin", pa.array(bins)).append_column("loose", pa.array(loose[bins]))
 
     return run
@@ -73,40 +78,47 @@ def _pack(max_items: int | None, cost_factor: float, rule: str):
 def pack_containers(items: DataFrame, containers: DataFrame, *, item_id: str = "doc_id", size: str = "n_tokens", profile: str = "profile", capacity: str = "capacity_tokens", max_items: int | None = None, cost_factor: float = 1.0, rule: str = "norm", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(profile, container_id, item_id, piece, n_tokens, start_token): every item in containers of each capacity.
 
-    Method: items longer than the capacity are cut into full pieces, each a container of its own, and a rest. The
-    others are spread over blocks of about ``block_items`` by hash of their id, so that no source or group can be hot,
-    and each block is packed by vector best-fit, decreasing (:func:`best_fit`). Each block's
-    emptiest containers (filled to less than LOOSE, holding at most one item in MERGE_BLOCKS, or one container) are
-    emptied, and the items of MERGE_BLOCKS blocks packed again together, until one block is left. ``max_items`` bounds the items of a container (None: its capacity,
-    which never binds), ``cost_factor`` the sum of squared lengths in squares of the capacity (1: never binds).
+    Method: items longer than a container can hold are cut into full pieces, each a container of its own, and a rest;
+    a container holds ``capacity`` tokens, ``max_items`` items (None: as many as tokens, which never binds) and an
+    attention cost (the sum of squared lengths) of ``cost_factor`` squares of the capacity (1: never binds), so a piece
+    has at most the capacity and the root of that cost. The others are spread over blocks of about ``block_items`` by
+    hash of their row, so that no source, id or group can be hot, and each block is packed by vector best-fit,
+    decreasing (:func:`best_fit`). Each block's emptiest containers (filled to less than LOOSE in every capacity,
+    holding at most one item in MERGE_BLOCKS, or one container) are emptied, and the items of MERGE_BLOCKS blocks packed
+    again together, until one block is left.
 
     Defined cases: an item of no tokens (an empty or null text) is given with a null container; an item as long as
-    the capacity fills a container; a null or non-positive capacity is refused; an item that alone breaks a
-    constraint on cost gets a container of its own; a repeated or null id is packed once a row, and its rows never share a full container. No items give no rows.
+    the longest piece fills a container; a null or non-positive capacity, number of items or cost is refused; a repeated
+    or null id is packed once a row, and its rows never share a full container. No items give no rows.
     """
     spark = items.sparkSession
     ensure_checkpoint_dir(spark)
     profiles = containers.select(F.col(profile).cast("string"), F.col(capacity).cast("int")).distinct().limit(MAX_PROFILES + 1).collect()
     if len(profiles) > MAX_PROFILES or any(c is None or c < 1 for _, c in profiles):
         raise ValueError("capacities must be positive, in a bounded number of profiles")
-    each = F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity")) for p, c in sorted(profiles, key=repr))) if profiles else F.array().cast("array<struct<profile:string,capacity:int>>")
+    if (max_items is not None and max_items < 1) or any(int(cost_factor * c * c) < 1 for _, c in profiles):
+        raise ValueError("a container must hold at least one item of one token")
+    longest = {c: min(c, isqrt(int(cost_factor * c * c))) for _, c in profiles}
+    each = F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity"), F.lit(longest[c]).alias("full")) for p, c in sorted(profiles, key=repr))) if profiles else F.array().cast("array<struct<profile:string,capacity:int,full:int>>")
     sized = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("n"), F.monotonically_increasing_id().alias("row")).checkpoint()  # which fixes the rows' numbers
     n_blocks = max(1, -(-sized.where("n > 0").count() // block_items))
     wide = sized.select("item_id", "row", "n", F.inline(each))
-    step = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("capacity")).cast("int"))).otherwise(F.array(F.lit(0)))
-    pieces = wide.select("profile", "capacity", "item_id", "row", "n", F.explode(step).alias("piece"))
-    pieces = pieces.select("profile", "capacity", "item_id", "row", "piece", F.least(F.col("capacity"), F.col("n") - F.col("piece") * F.col("capacity")).alias("tokens"))
+    step = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("full")).cast("int"))).otherwise(F.array(F.lit(0)))
+    pieces = wide.select("profile", "capacity", "full", "item_id", "row", "n", F.explode(step).alias("piece"))
+    start = F.col("piece") * F.col("full")
+    pieces = pieces.select("profile", "capacity", "full", "item_id", "row", "piece", start.alias("start"), F.least(F.col("full"), F.col("n") - start).alias("tokens"))
     name = lambda *parts: F.concat_ws("-", "profile", *parts)
     # a full piece is packed already; an empty item needs no container
-    alone = pieces.where("tokens = capacity or tokens = 0").withColumn("container_id", F.when(F.col("tokens") > 0, name(F.lit("full"), "item_id", "row", "piece")))
-    columns = ["profile", "container_id", "item_id", "piece", "tokens", "capacity"]
+    alone = pieces.where("tokens = full or tokens = 0").withColumn("container_id", F.when(F.col("tokens") > 0, name(F.lit("full"), "item_id", "row", "piece")))
+    columns = ["profile", "container_id", "item_id", "piece", "start", "tokens"]
     result = alone.select(*columns)
-    todo = pieces.where("tokens > 0 and tokens < capacity").withColumn("block", F.pmod(F.xxhash64("item_id", "piece", F.when(F.col("item_id").isNull(), F.col("row"))), F.lit(n_blocks)))
+    # by row, as an id may be repeated without end
+    todo = pieces.where("tokens > 0 and tokens < full").withColumn("block", F.pmod(F.xxhash64("row", "piece"), F.lit(n_blocks)))
     kind = items.schema[item_id].dataType.simpleString()
-    schema = "profile string, capacity int, item_id " + kind + ", piece int, tokens int, block long, bin long, loose boolean"
+    schema = "profile string, capacity int, item_id " + kind + ", piece int, start int, tokens int, block long, bin long, loose boolean"
     level = 0
     while True:
-        packed = todo.select("profile", "capacity", "item_id", "piece", "tokens", "block").repartition(python_partitions(spark), "profile", "block").groupBy("profile", "block").applyInArrow(_pack(max_items, cost_factor, rule), schema).checkpoint()
+        packed = todo.select("profile", "capacity", "item_id", "piece", "start", "tokens", "block").repartition(python_partitions(spark), "profile", "block").groupBy("profile", "block").applyInArrow(_pack(max_items, cost_factor, rule), schema).checkpoint()
         last = n_blocks == 1
         tight = packed if last else packed.where("not loose")
         result = result.unionByName(tight.withColumn("container_id", name(F.lit(level), "block", "bin")).select(*columns))
@@ -114,9 +126,20 @@ def pack_containers(items: DataFrame, containers: DataFrame, *, item_id: str = "
             break
         n_blocks, level = -(-n_blocks // MERGE_BLOCKS), level + 1
         todo = packed.where("loose").withColumn("block", F.pmod("block", F.lit(n_blocks)))
-    return result.select(F.col("profile").alias(profile), "container_id", F.col("item_id").alias(item_id), "piece", F.col("tokens").alias(size), (F.col("piece") * F.col("capacity")).alias("start_token"))
+    return result.select(F.col("profile").alias(profile), "container_id", F.col("item_id").alias(item_id), "piece", F.col("tokens").alias(size), F.col("start").alias("start_token"))
+
 
+def fill_report(packed: DataFrame, containers: DataFrame, *, size: str = "n_tokens", profile: str = "profile", capacity: str = "capacity_tokens", max_items: int | None = None, cost_factor: float = 1.0) -> DataFrame:
+    """(profile, n_containers, n_tokens, n_pieces, n_least, over_full) of a packing.
 
-def fill_report(packed: DataFrame, *, size: str = "n_tokens", profile: str = "profile") -> DataFrame:
-    """(profile, n_containers, n_tokens, n_items) of a packing."""
-    return packed.groupBy(profile).agg(F.count_distinct("container_id").alias("n_containers"), F.sum(size).alias("n_tokens"), F.count(F.lit(1)).alias("n_pieces"))
+    ``n_least`` is the least number of containers by the sums of tokens, pieces and cost, whichever needs most;
+    ``over_full`` the number of containers that break a capacity. Pieces without a container (empty items) don't count.
+    """
+    room = F.col(capacity).cast("double")
+    most, cost = F.lit(max_items).cast("double") if max_items is not None else room, F.floor(cost_factor * room * room)
+    each = packed.where("container_id is not null").groupBy(profile, "container_id").agg(F.sum(size).alias("_t"), F.count(F.lit(1)).alias("_n"), F.sum(F.col(size).cast("double") * F.col(size)).alias("_c"))
+    each = each.join(containers.select(profile, capacity).distinct(), profile)
+    over = (F.col("_t") > room) | (F.col("_n") > most) | (F.col("_c") > cost)
+    totals = [F.count(F.lit(1)).alias("n_containers"), F.sum("_t").alias("n_tokens"), F.sum("_n").alias("n_pieces"), F.sum("_c").alias("_c"), F.count_if(over).alias("over_full")]
+    least = F.ceil(F.greatest(F.col("n_tokens") / room, F.col("n_pieces") / most, F.col("_c") / cost))
+    return each.groupBy(profile, capacity).agg(*totals).select(profile, "n_containers", "n_tokens", "n_pieces", least.alias("n_least"), "over_full")
