@@ -126,6 +126,11 @@ class BytePairEncoder:
             out.append(get(piece) or self._piece(piece))
         return b"".join(out)
 
+    def count(self, text: str | None) -> int:
+        """Number of ids, without joining them."""
+        get = self.kept.get
+        return sum(len(get(piece) or self._piece(piece)) for piece in self.split(text)) // 4 if text else 0
+
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens as a list."""
         return array("i", self.packed(text)).tolist()
@@ -159,60 +164,10 @@ def _udf(spark: SparkSession, kind: str, path: str | None, pattern: str | None):
 
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a pre-token that isn't kept yet, four bytes each."""
-        data = piece.encode("utf-8", "replace")
-        ids = array("i", self.merge(data)).tobytes()
-        if len(data) <= KEPT_BYTES:
-            self.kept_bytes += len(data)
-            if self.kept_bytes > KEPT:
-                self.kept.clear()
-                self.kept_bytes = len(data)
-            self.kept[piece] = ids
-        return ids
-
-    def packed(self, text: str | None) -> bytes:
-        """Ids without special tokens, four bytes each; none for an empty or null text."""
-        get, out = self.kept.get, []
-        for piece in self.split(text) if text else ():
-            out.append(get(piece) or self._piece(piece))
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> list[int]:
-        """Ids without special tokens as a list."""
-        return array("i", self.packed(text)).tolist()
-
-
-@lru_cache(maxsize=4)
-def _encoder(vocabulary: bytes, pattern: str) -> BytePairEncoder:
-    return BytePairEncoder(vocabulary, pattern)
-
-
-def load_vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[bytes, str]:
-    """The vocabulary file (by default the public byte_bpe_50k of the installed tokenizers) and the pattern of pre-tokens."""
-    if path is None or pattern is None:
-        import public_tokenizers
-
-        path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    return Path(path).read_bytes(), pattern
-
-
-def _udf(spark: SparkSession, kind: str, path: str | None, pattern: str | None):
-    shared = spark.sparkContext.broadcast(load_vocabulary(path, pattern))  # under 1 MB, read once on the driver
-
-    if kind == "ids":
-
-        @F.arrow_udf("array<int>")
-        def ids(text: pa.Array) -> pa.Array:
-            encode = _encoder(*shared.value).encode
-            return pa.array((encode(x) for x in text.to_pylist()), pa.list_(pa.int32()), size=len(text))
-
-        return ids
-
     @F.arrow_udf("int")
     def count(text: pa.Array) -> pa.Array:
-        packed = _encoder(*shared.value).packed
-        return pa.array((len(packed(x)) // 4 for x in text.to_pylist()), pa.int32(), size=len(text))
+        number = _encoder(*shared.value).count
+        return pa.array((number(x) for x in text.to_pylist()), pa.int32(), size=len(text))
 
     return count
 
