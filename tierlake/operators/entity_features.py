@@ -15,7 +15,8 @@ from tierlake.functions.keys import label, workspace_key
 
 #: Types become columns, so their number is bounded; more are refused.
 MAX_TYPES = 4000
-PARTIAL_ROWS = 1 << 17
+#: Events folded at a time, and folded rows held before they are folded with each other.
+PARTIAL_ROWS, FOLDED_ROWS = 1 << 17, 1 << 18
 BLOCK_ENTITIES = 256
 
 
@@ -25,7 +26,7 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _partial(n_types: int):
-    """Events sorted by id to one row per (entity, type) of each stretch; an id's later rows are skipped."""
+    """Events sorted by id to one row per (entity, type) of a task, stretch by stretch; an id's later rows are skipped."""
     width = n_types + 1  # the last slot holds types that are not listed
 
     def fold(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -46,6 +47,8 @@ def _partial(n_types: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, seen = [], 0, None
+        folded: list[pa.RecordBatch] = []
+        limit = FOLDED_ROWS
         for b in batches:
             if not b.num_rows:
                 continue
@@ -55,10 +58,15 @@ def _partial(n_types: int):
             held.append(b.filter(pa.array(new)))
             rows += b.num_rows
             if rows >= PARTIAL_ROWS:
-                yield fold(held)
+                folded.append(fold(held))
                 held, rows = [], 0
+                if sum(x.num_rows for x in folded) >= limit:
+                    folded = _fold_open(folded)
+                    # twice what is left, so that each row is folded a constant number of times
+                    limit = max(FOLDED_ROWS, 2 * sum(x.num_rows for x in folded))
         if held:
-            yield fold(held)
+            folded.append(fold(held))
+        yield from _fold_open(folded) if len(folded) > 1 else folded
 
     return run
 
@@ -107,7 +115,7 @@ def _blocks(n_types: int, schema: pa.Schema, block: int):
             if rows >= PARTIAL_ROWS:
                 yield from drain(False)
                 rows = sum(x.num_rows for x in held)
-                # one entity has at most (types + 1) rows of each partial stretch: fold what is open
+                # one entity has at most (types + 1) rows of each task: fold what is open
                 if rows >= PARTIAL_ROWS:
                     folded = _fold_open(held)
                     held[:] = folded
@@ -142,7 +150,8 @@ def entity_features(
     """One row per entity: ``n_total, n_types, n_unlisted, first_at, last_at`` and ``n_<type>, last_<type>`` of every listed type.
 
     Method: events are spread by id (so that no entity can be hot) and repeats of an id dropped; there each stretch is
-    folded to (entity, type) rows by ``bincount`` and maximum scatter; these partial rows go to hash buckets of
+    folded to (entity, type) rows by ``bincount`` and maximum scatter, and the stretches of a task with each other, so
+    that a task sends an entity's type once (an entity has at most types x tasks rows); these go to hash buckets of
     entities, where dense blocks of ``block`` entities x types are filled in the same way and emitted as Arrow columns.
 
     Defined cases: an entity that is null, blank or only slashes gets no row; event names count without regard to letter
