@@ -46,6 +46,28 @@ def test_features_over_many_blocks(spark, types):
     assert got == want
 
 
+def test_a_task_sends_an_entity_and_type_once(monkeypatch):
+    """Stretches of a task are folded with each other, whatever the number of events of a hot entity."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tierlake.operators import entity_features as E
+
+    monkeypatch.setattr(E, "PARTIAL_ROWS", 50)
+    monkeypatch.setattr(E, "FOLDED_ROWS", 60)
+    r = np.random.default_rng(0)
+    n = 4000
+    entity = np.where(r.random(n) < 0.6, 0, r.integers(0, 30, n))
+    kind, at = r.integers(0, 3, n), r.random(n)
+    t = pa.table({"id": np.arange(n), "entity": pa.array([f"w{k}" for k in entity]), "at": pa.array(at), "type": pa.array(kind.astype(np.int32))})
+    got = [x for b in E._partial(2)(iter(t.to_batches(max_chunksize=30))) for x in b.to_pylist()]
+    want = {}
+    for e, k, a in zip(entity, kind, at, strict=True):
+        c, lo, hi = want.get((f"w{e}", k), (0, np.inf, -np.inf))
+        want[f"w{e}", k] = (c + 1, min(lo, a), max(hi, a))
+    assert {(x["entity"], x["type"]): (x["n"], x["first"], x["last"]) for x in got} == want and len(got) == len(want)
+
+
 def test_features_of_nothing(spark, types):
     out = entity_features(events(spark, []), types)
     assert out.count() == 0 and out.columns[:3] == ["workspace_key", "n_total", "n_types"]
@@ -102,7 +124,17 @@ def test_differences_against_brute_force(spark):
     want = [(*k, "missing_in_mirror") for k in x if k not in y] + [(*k, "missing_in_primary") for k in y if k not in x]
     want += [(*k, c) for k in x if k in y for i, c in ((2, "size_bytes"), (3, "mtime_ns")) if x[k][i] != y[k][i]]
     assert differences(files(spark, a), files(spark, b)) == sorted(want, key=repr)
-    assert bucket_count(0) == 1 << 10 and bucket_count(10**12) == 1 << 22
+    assert bucket_count(0) == 1 << 10 and bucket_count(10**12) == 1 << 26
+
+
+def test_equal_copies_need_one_pass(spark):
+    """Nothing is read again if the matrix is equal, and only columns that it found unequal otherwise."""
+    rows = [(f"m{i % 7}", f"d/{i}", i % 5, i) for i in range(3000)]
+    a, b = files(spark, rows), files(spark, rows[::-1])
+    same = copy_differences(a, b)
+    assert same.collect() == [] and "Exchange" not in same._jdf.queryExecution().optimizedPlan().toString() and "Join" not in same._jdf.queryExecution().optimizedPlan().toString()
+    few = copy_differences(a, files(spark, [(s, p, n, t + (p == "d/7")) for s, p, n, t in rows] + rows[:9]))
+    assert [tuple(r) for r in few.collect()] == [("m0", "d/7", "mtime_ns")]
 
 
 def test_totals_of_heavy_keys(spark):

@@ -9,18 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the number of key buckets; the bitmaps of the unequal ones are broadcast and take 3 bits a bucket.
-MIN_BUCKETS, MAX_BUCKETS = 1 << 10, 1 << 22
-ROWS_PER_BUCKET = 8
+#: Coarse buckets, whose matrix reaches the driver, and bounds of the number of fine ones, of which the unequal are broadcast as one bit each.
+COARSE = 1 << 10
+MIN_BUCKETS, MAX_BUCKETS = COARSE, 1 << 26
+#: Rows of both copies a fine bucket.
+ROWS_PER_BUCKET = 4
 
 
 @F.arrow_udf(T.StringType())
 def _nfc(text: pa.Array) -> pa.Array:
+    if text.null_count == len(text):
+        return text
     return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
 
 
 def canonical_path(c: Column) -> Column:
-    """A path in NFC without empty and ``.`` segments; only paths that hold non-ASCII characters are sent to Python."""
+    """A path in NFC without empty and ``.`` segments; Python gets a null in place of an ASCII path."""
     composed = F.coalesce(_nfc(F.when(F.length(c) != F.octet_length(c), c)), c)
     parts = F.filter(F.split(composed, "/"), lambda s: ~s.isin("", "."))
     return F.when(composed.rlike(r"(^|/)\.?(/|$)"), F.array_join(parts, "/")).otherwise(composed)
@@ -31,26 +35,36 @@ def bucket_count(rows: int) -> int:
     return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << max(0, (rows // ROWS_PER_BUCKET).bit_length())))
 
 
-def _halves(c: Column) -> tuple[Column, Column]:
-    """A 64-bit hash as two addends whose sums cannot overflow."""
-    return F.shiftright(c, 32), c.bitwiseAND(F.lit(0xFFFFFFFF))
+def _signed_sums(name: str, h: Column) -> list[Column]:
+    """Sum of a 64-bit hash over one copy less that over the other, as two halves that cannot overflow."""
+    sign = F.when(F.col("side") == 0, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
+    return [F.sum(sign * F.shiftright(h, 32)).alias(f"{name}_hi"), F.sum(sign * h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{name}_lo")]
+
+
+def _unequal(name: str) -> Column:
+    return (F.col(f"{name}_hi") != 0) | (F.col(f"{name}_lo") != 0)
 
 
 def checksum_matrix(sides: DataFrame, columns: list[str]) -> DataFrame:
-    """Buckets whose checksums differ: (bucket, keys, <column>...) with a flag for the keys and each column.
+    """(bucket, n, keys, <column>...): for each coarse bucket its rows, and whether the checksums of the keys and of each column differ.
 
-    ``sides`` has (side, kh, kh2, bucket, <column>...): rows of both copies by 64+64-bit key hash. Only fixed-width hashes
-    are shuffled, once, by bucket; repeats are dropped there, and each column's hash is added for one copy and subtracted
-    for the other.
+    ``sides`` has (side, kh, <column>...) with a 64-bit key hash. Hashes are added within each task first, so a task
+    sends at most COARSE rows of fixed width, whatever it reads.
     """
-    spread = sides.repartition("bucket").distinct()
-    sign = F.when(F.col("side") == 0, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
-    sums = []
-    for name, h in [("keys", F.xxhash64("kh2", "kh")), *((c, F.xxhash64("kh", F.col(c).isNull(), c, "kh2")) for c in columns)]:
-        hi, lo = _halves(h)
-        sums += [F.sum(sign * hi).alias(f"{name}_hi"), F.sum(sign * lo).alias(f"{name}_lo")]
-    flags = [((F.col(f"{n}_hi") != 0) | (F.col(f"{n}_lo") != 0)).alias(n) for n in ("keys", *columns)]
-    return spread.groupBy("bucket").agg(*sums).select("bucket", *flags).where(" or ".join(f"`{n}`" for n in ("keys", *columns)))
+    sums = [F.count(F.lit(1)).alias("n"), *_signed_sums("keys", F.xxhash64(F.lit(5), "kh"))]
+    for c in columns:
+        sums += _signed_sums(c, F.xxhash64("kh", F.col(c).isNull(), c))
+    coarse = F.shiftrightunsigned("kh", 64 - (COARSE.bit_length() - 1)).cast("int")
+    return sides.groupBy(coarse.alias("bucket")).agg(*sums).select("bucket", "n", *(_unequal(n).alias(n) for n in ("keys", *columns)))
+
+
+def _fine_words(sides: DataFrame, columns: list[str], bits: int) -> DataFrame:
+    """(word, bits): the fine buckets whose checksums of whole rows differ, 64 a word."""
+    row = F.xxhash64("kh", F.lit(9), *(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+    fine = F.shiftrightunsigned("kh", 64 - bits).cast("int")
+    differ = sides.groupBy(fine.alias("bucket")).agg(*_signed_sums("row", row)).where(_unequal("row"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bucket").bitwiseAND(F.lit(63)))
+    return differ.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 def copy_differences(
@@ -64,48 +78,52 @@ def copy_differences(
 
     ``difference`` is ``missing_in_mirror``, ``missing_in_primary`` or the name of the differing column; one row each.
 
-    Method: the checksum matrix locates unequal buckets and columns; the unequal buckets become bitmaps of at most
-    MAX_BUCKETS bits (a bound proven by construction, so they are broadcast), and only rows in them, and of these only
-    unequal columns, are read again and compared by key in one shuffle.
+    Method: a first pass adds up the checksum matrix of COARSE key buckets and every column within each task, so equal
+    copies shuffle next to nothing and end there (all columns equal: no rows). Within the unequal coarse buckets a
+    second pass adds one hash a row to fine buckets of about ROWS_PER_BUCKET rows of both copies; the unequal ones
+    become a bitmap of at most MAX_BUCKETS bits (8 MB, a bound by construction, so it is broadcast), and only their
+    rows, and of these only columns that the matrix found unequal, are read again and compared by key. Sums are over
+    all rows, so an uneven number of repeats marks a bucket too; the comparison by key then finds its rows equal.
+    Building the plan runs the first pass.
 
     Defined cases: relative paths are compared and given in NFC without empty and ``.`` segments; null keys equal each
-    other; null differs from every value but null; repeats are no difference; a key that one copy holds with different
-    values is compared by its smallest and largest value, the presence of null and the sum of the hashes of its distinct
-    values; other columns, and extra columns of
-    any name, are ignored. Two empty copies give no rows.
+    other; null differs from every value but null; repeats are no difference; a key that a copy holds with several
+    values differs in a column if one of the values is only in one copy; other columns, and extra columns of any name,
+    are ignored. Two empty copies give no rows.
     """
     source, relative = keys
-    n_buckets = bucket_count(primary.count())
+    values = [f"c{i}" for i in range(len(columns))]
 
     def side(df: DataFrame, tag: int) -> DataFrame:
-        return df.select(F.lit(tag).alias("side"), F.col(source).alias("k0"), canonical_path(F.col(relative)).alias("k1"), *(F.col(c).cast("long").alias(f"c{i}") for i, c in enumerate(columns)))
+        return df.select(F.lit(tag).alias("side"), F.col(source).alias("k0"), canonical_path(F.col(relative)).alias("k1"), *(F.col(c).cast("long").alias(v) for c, v in zip(columns, values, strict=True)))
 
-    values = [f"c{i}" for i in range(len(columns))]
-    bits = n_buckets.bit_length() - 1
     both = side(primary, 0).unionByName(side(mirror, 1))
-    hashed = both.withColumn("kh", F.xxhash64(F.col("k0").isNull(), "k0", F.col("k1").isNull(), "k1")).withColumn("bucket", F.shiftrightunsigned("kh", 64 - bits))
-    matrix = checksum_matrix(hashed.select("side", "kh", F.xxhash64(F.lit(7), "k1", "k0").alias("kh2"), "bucket", *values), values)
-    one = F.lit(1).cast("long")
-    words = matrix.groupBy(F.shiftright("bucket", 6).alias("word")).agg(
-        *(F.bit_or(F.when(F.col(n), F.call_function("shiftleft", one, F.col("bucket").bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"{n}_bits") for n in ("keys", *values))
-    )
-    unequal = {n: F.getbit(F.col(f"{n}_bits"), F.col("bucket").bitwiseAND(F.lit(63)).cast("int")) == 1 for n in ("keys", *values)}
+    hashed = both.withColumn("kh", F.xxhash64(F.col("k0").isNull(), "k0", F.col("k1").isNull(), "k1"))
+    matrix = [r for r in checksum_matrix(hashed.select("side", "kh", *values), values).collect() if any(r[n] for n in ("keys", *values))]  # at most COARSE rows
+    index = F.shiftrightunsigned("kh", 64 - (COARSE.bit_length() - 1)).cast("int")
+
+    def marked(column: str | None) -> Column:
+        """Whether the coarse bucket of a row is unequal at all, or in a column (a key that is missing shows in all)."""
+        words = [0] * (COARSE // 64)
+        for r in matrix:
+            if column is None or r["keys"] or r[column]:
+                words[r["bucket"] >> 6] |= 1 << (r["bucket"] & 63)
+        if all(w == (1 << 64) - 1 for w in words):
+            return F.lit(True)
+        signed = F.array(*(F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words))
+        return F.getbit(F.element_at(signed, F.shiftright(index, 6) + 1), index.bitwiseAND(F.lit(63))) == 1
+
+    suspects = hashed.where(marked(None)) if matrix else hashed.limit(0)
+    bits = bucket_count(sum(r["n"] for r in matrix) * COARSE // max(1, len(matrix))).bit_length() - 1
+    words = _fine_words(suspects.select("side", "kh", *values), values, bits)
+    fine = F.shiftrightunsigned("kh", 64 - bits).cast("int")
     # at most MAX_BUCKETS / 64 rows
-    read = hashed.join(F.broadcast(words), F.shiftright("bucket", 6) == F.col("word")).where(F.greatest(*(c.cast("int") for c in unequal.values())) == 1)
-    read = read.select("k0", "k1", "side", *(F.when(unequal[v], F.col(v)).alias(v) for v in values))
-    stats = []
-    for tag in (0, 1):
-        mine = F.col("side") == tag
-        stats.append(F.max(mine).alias(f"has{tag}"))
-        for v in values:
-            x = F.when(mine, F.col(v))
-            stats += [F.min(x).alias(f"{v}_lo{tag}"), F.max(x).alias(f"{v}_hi{tag}"), F.max(mine & F.col(v).isNull()).alias(f"{v}_null{tag}")]
-    for v in values:  # the distinct values of one side against those of the other
-        h = F.xxhash64(F.lit(3), F.col(v).isNull(), v).cast("decimal(20,0)")
-        stats.append(F.sum_distinct(F.when(F.col("side") == 0, h).otherwise(-h)).alias(f"{v}_sum"))
-    compared = read.groupBy("k0", "k1").agg(*stats)
+    read = suspects.join(F.broadcast(words), F.shiftright(fine, 6) == F.col("word")).where(F.getbit("bits", fine.bitwiseAND(F.lit(63))) == 1)
+    # each value of each column, once a key: equal ones are counted before they are spread, so that no key is hot
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.when(marked(v), F.col(v)).alias("v")) for i, v in enumerate(values)))
+    sets = read.select("k0", "k1", (F.col("side") == 0).alias("a"), (F.col("side") == 1).alias("b"), F.inline(each)).groupBy("k0", "k1", "i", "v").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    uneven = [F.max((F.col("i") == i) & (F.col("a") != F.col("b"))).alias(v) for i, v in enumerate(values)]
+    compared = sets.groupBy("k0", "k1").agg(F.max("a").alias("has0"), F.max("b").alias("has1"), *uneven)
     found = [F.when(~F.col("has1"), F.lit("missing_in_mirror")), F.when(~F.col("has0"), F.lit("missing_in_primary"))]
-    for c, v in zip(columns, values, strict=True):
-        same = F.col(f"{v}_lo0").eqNullSafe(F.col(f"{v}_lo1")) & F.col(f"{v}_hi0").eqNullSafe(F.col(f"{v}_hi1")) & (F.col(f"{v}_null0") == F.col(f"{v}_null1")) & (F.col(f"{v}_sum") == 0)
-        found.append(F.when(F.col("has0") & F.col("has1") & ~same, F.lit(c)))
+    found += [F.when(F.col("has0") & F.col("has1") & F.col(v), F.lit(c)) for c, v in zip(columns, values, strict=True)]
     return compared.select(F.col("k0").alias(source), F.col("k1").alias(relative), F.explode(F.array_compact(F.array(*found))).alias("difference"))
