@@ -33,6 +33,13 @@ def test_runs_of_near_identical_events(spark):
     assert (kept["event"], kept["reason"]) == ("PIN", "size 5  differs from a1.")
 
 
+def test_an_id_counts_once(spark):
+    rows = [(1, 1.0, "w", "A", ""), (1, 1.5, "w", "A", ""), (2, 2.0, "w", "A", ""), (3, 3.0, "w", "B", ""), (3, 2.5, "v", "C", ""), (4, 9.0, "v", "C", "")]
+    assert runs(events(spark, rows)) == [("v", 3, 4, 2, 6.5), ("w", 1, 2, 2, 1.0)]
+    loose = [(None, 1.0, "w", "A", ""), (None, 2.0, "w", "A", " "), (None, 2.0, "w", "a", "."), (None, None, "w", "A", ""), (5, 2.0, "w", "A", "")]
+    assert runs(events(spark, loose)) == [("w", None, 5, 4, None)]
+
+
 @pytest.mark.parametrize("batch", [3, 10000])
 def test_runs_over_many_blocks(spark, batch):
     """One key holds a run over several blocks; ties and repeats at random."""

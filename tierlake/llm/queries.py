@@ -67,7 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _P4 = r"""
 with once as (
-  select distinct id, "at", rtrim(workspace_key, '/') as workspace_key, event, reason from pager_events where nullif(rtrim(workspace_key, '/'), '') is not null),
+  select id, "at", workspace_key, event, reason from (
+    select *, row_number() over (partition by id, case when id is null then concat_ws('|', workspace_key, "at", event, reason) end order by "at" nulls first, workspace_key, event, reason) as place
+    from (select id, "at", rtrim(workspace_key, '/') as workspace_key, event, reason from pager_events) where workspace_key <> '')
+  where place = 1),
 label as (
   select *, lower(trim(coalesce(event, ''))) as e,
     lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(reason, ''), '[^\s]*[0-9][^\s]*', '0', 'g'), '\s+', ' ', 'g'), '[\s\pP]+$', ''), '^ ', '')) as r

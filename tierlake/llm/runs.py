@@ -67,19 +67,11 @@ def _fragments(keep: list[str], schema: pa.Schema):
             codes = b.column("ws").dictionary_encode().indices
             return tuple(x.to_numpy(zero_copy_only=False) for x in (codes, b.column("s1"), b.column("s2"), b.column("id"), b.column("at").fill_null(np.nan)))
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, _, _, idn, at = columns(b)
-            # a delivery that was repeated has the same place in the order
-            same_at = (at[1:] == at[:-1]) | (np.isnan(at[1:]) & np.isnan(at[:-1]))
-            begins = last is not None and (b.column("ws")[0].as_py(), idn[0], repr(at[0])) == (last[0], last[3], last[4])
-            repeat = np.r_[begins, (ids[1:] == ids[:-1]) & (idn[1:] == idn[:-1]) & same_at]
-            t = b.filter(pa.array(~repeat))
+        for t in batches:
             if not t.num_rows:
                 continue
             ids, s1, s2, idn, at = columns(t)
-            like = np.r_[last is not None and (t.column("ws")[0].as_py(), s1[0], s2[0]) == last[:3], (ids[1:] == ids[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])]
+            like = np.r_[last is not None and (t.column("ws")[0].as_py(), s1[0], s2[0]) == last, (ids[1:] == ids[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])]
             start = _last_of_stretch(np.r_[False, like[1:]])
             heads = np.flatnonzero(start == np.arange(len(start)))
             ends = np.r_[heads[1:], len(start)] - 1
@@ -97,7 +89,7 @@ def _fragments(keep: list[str], schema: pa.Schema):
             held = frag.slice(frag.num_rows - 1)
             if frag.num_rows > 1:
                 yield from emit(frag.slice(0, frag.num_rows - 1), False)
-            last = (t.column("ws")[-1].as_py(), s1[-1], s2[-1], idn[-1], repr(at[-1]))
+            last = (t.column("ws")[-1].as_py(), s1[-1], s2[-1])
         if held is not None:
             yield from emit(held, True)
 
@@ -126,15 +118,17 @@ def collapse_runs(
 ) -> DataFrame:
     """One row per run of like consecutive events of a key: (key, first_id, last_id, n_events, first_at, last_at, duration, *keep).
 
-    Method: events are spread by range of (key, time, id), so that a hot key covers many blocks. Within a block, every
+    Method: names and reasons become signatures of 128 bits where they are read; of the rows of an id, brought together
+    by id, the first is kept; these are spread by range of (key, time, id), so that a hot key covers many blocks. Within a block, every
     event like its predecessor points to it, and pointers are doubled until all reach the start of their stretch.
     Stretches that touch a block's edge are nodes that point to the stretch before them, if that is like them; these
     pointers are doubled by self-joins, logarithmically many in the number of blocks of the longest run. Whole
     stretches pass through without a further shuffle. ``keep`` are columns taken from a run's first event.
 
     Defined cases: rows whose key is null, blank or only slashes are left out; keys are taken and given without trailing
-    slashes; rows that repeat (key, time, id) count once (by the smallest signature, should they differ otherwise); a null or NaN time comes first; ties of time are ordered by
-    id; a null event or reason is a blank one; ``duration`` is null if a time is. ``min_run`` leaves out shorter runs.
+    slashes; rows that repeat an id count once, by the earliest time (then the smallest key and signature), and rows
+    without an id once each, equal (key, time, signature) aside, with null as first_id or last_id; a null or NaN time
+    comes first; ties of time are ordered by id, null first; a null event or reason is a blank one; ``duration`` is null if a time is. ``min_run`` leaves out shorter runs.
     Clashing extra columns are ignored. An empty table gives no rows.
     """
     at, ident = order
@@ -148,7 +142,12 @@ def collapse_runs(
         F.xxhash64(F.lit(11), why, name).alias("s2"),
         *(F.col(c).alias(f"keep_{c}") for c in keep),
     ).where("ws is not null")
-    rows = rows.withColumn("id", F.coalesce("id", F.lit(-(1 << 63)).cast("long")))
+    # a row without an id is spread by all that counts of it; ids that repeat without end are cut down before the shuffle
+    loose = F.when(F.col("id").isNull(), F.xxhash64("ws", "at", "s1", "s2"))
+    first_of_id = W.partitionBy("id", "loose").orderBy(F.col("at").asc_nulls_first(), "ws", "s1", "s2")
+    rows = rows.withColumn("loose", loose).withColumn("place", F.row_number().over(first_of_id)).where("place = 1").drop("loose", "place")
+    none = F.lit(-(1 << 63)).cast("long")
+    rows = rows.withColumn("id", F.coalesce("id", none))
     kept = [(f"keep_{c}", rows.schema[f"keep_{c}"].dataType.simpleString()) for c in keep]
     ddl = "ws string, s1 long, s2 long, " + FRAGMENT + "".join(f", `{c}` {t}" for c, t in kept)
     names = ["ws", "s1", "s2", "first_id", "last_id", "first_at", "last_at", "n", "block", "opens", "closes"]
@@ -178,4 +177,4 @@ def collapse_runs(
     result = whole.unionByName(joined.select("ws", "first_id", "end.last_id", "first_at", "end.last_at", "n", *tail))
     if min_run > 1:
         result = result.where(F.col("n") >= min_run)
-    return result.select(F.col("ws").alias(key), "first_id", "last_id", F.col("n").alias("n_events"), "first_at", "last_at", (F.col("last_at") - F.col("first_at")).alias("duration"), *(F.col(f"keep_{c}").alias(c) for c in keep))
+    return result.select(F.col("ws").alias(key), *(F.nullif(c, none).alias(c) for c in ("first_id", "last_id")), F.col("n").alias("n_events"), "first_at", "last_at", (F.col("last_at") - F.col("first_at")).alias("duration"), *(F.col(f"keep_{c}").alias(c) for c in keep))
