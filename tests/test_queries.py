@@ -3,6 +3,8 @@
 import ast
 import glob
 import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -53,3 +55,10 @@ def test_core_does_not_need_the_subpackage():
         for node in ast.walk(ast.parse(f.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") for n in names), f
+
+
+def test_entry_does_without_the_subpackage(tmp_path):
+    """The other queries stay if the subpackage can't be imported, for instance for want of a library."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('p8') for k in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len(CORE)), "False"] or not (ROOT / "tierlake" / "llm").exists()

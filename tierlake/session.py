@@ -21,7 +21,9 @@ def get_session(app: str = "tierlake", **conf: str) -> SparkSession:
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -29,6 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
     A cluster without the setting is refused, since executors could not share a machine-local folder.
     """
+    ship_package(spark)  # operators that checkpoint have Python workers too
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
