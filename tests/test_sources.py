@@ -3,11 +3,12 @@
 import datetime as dt
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from tierlake.operators.orphans import orphan_report
+from tierlake.operators.orphans import advance_counts, key_counts, orphan_report
 from tierlake.sources import formats as S
 from tierlake.streaming import jobs as J
 
@@ -29,22 +30,52 @@ def test_positional_lines(spark, tmp_path):
 
 
 def test_incremental_manifests(spark, tmp_path):
+    """Only new and changed files are opened: one that can't be read any more is left alone while its size and time stay."""
+    src, root = tmp_path / "in", str(tmp_path / "table")
+    src.mkdir()
+
     def put(name, rows):
-        with gzip.open(tmp_path / name, "wt") as f:
+        with gzip.open(src / name, "wt") as f:
             f.writelines(json.dumps(r) + "\n" for r in rows)
 
+    rows = lambda: sorted(r["p"] for r in spark.read.parquet(f"{root}/rows").collect())
     put("a.jsonl.gz", [{"p": "1"}, {"p": "2"}])
-    put("b.jsonl.gz", [{"p": "3"}])
-    first = S.read_manifests(spark, str(tmp_path), "p string")
-    index = spark.createDataFrame(first.collect(), first.schema)
-    assert index.count() == 3
-    put("b.jsonl.gz", [{"p": "4"}, {"p": "5"}])
+    put("b +%41 é.jsonl.gz", [{"p": "3"}])
+    put("keep.jsonl.gz", [{"p": "9"}])
+    assert S.ingest_manifests(spark, str(src), root, "p string") == {"new": 3}
+    assert rows() == ["1", "2", "3", "9"]
+    stat = (src / "keep.jsonl.gz").stat()
+    (src / "keep.jsonl.gz").write_bytes(b"x" * stat.st_size)
+    os.utime(src / "keep.jsonl.gz", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    put("b +%41 é.jsonl.gz", [{"p": "4"}, {"p": "5"}])
     put("c.jsonl.gz", [{"p": "6"}])
-    (tmp_path / "a.jsonl.gz").unlink()
-    fresh = S.read_manifests(spark, str(tmp_path), "p string")
-    changed = S.changed_sources(fresh, index)
-    assert {r["source_path"][-10:]: r["status"] for r in changed.collect()} == {"a.jsonl.gz": "vanished", "b.jsonl.gz": "changed", "c.jsonl.gz": "new"}
-    assert sorted(r["p"] for r in S.replace_sources(index, fresh, changed).collect()) == ["4", "5", "6"]
+    (src / "a.jsonl.gz").unlink()
+    assert S.ingest_manifests(spark, str(src), root, "p string") == {"vanished": 1, "changed": 1, "new": 1}
+    assert rows() == ["4", "5", "6", "9"]
+    assert S.ingest_manifests(spark, str(src), root, "p string") == {}
+    put("c.jsonl.gz", [])
+    assert S.ingest_manifests(spark, str(src), root, "p string") == {"changed": 1} and rows() == ["4", "5", "9"]
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    S.write_version(spark.range(1), root, "first")
+    assert S.version_note(spark, root) == "first"
+    real = S.current_version
+    calls = []
+
+    def late(s, r):  # another writer comes in between
+        calls.append(1)
+        if len(calls) == 2:
+            monkeypatch.setattr(S, "current_version", real)
+            S.write_version(spark.range(7), root)
+        return real(s, r)
+
+    monkeypatch.setattr(S, "current_version", late)
+    with pytest.raises(S.Refused):
+        S.write_version(spark.range(3), root)
+    assert S.read_version(spark, root).count() == 7 and S.write_version(spark.range(4), root) == 4
+    assert S.read_version(spark, root, 1).count() == 1
 
 
 def test_versions_and_dumps(spark, tmp_path):
@@ -116,14 +147,84 @@ def test_latch_is_held_across_triggers(spark, tmp_path):
     assert last["a"][0] == 4 and last["b"][0] == 2
 
 
-def test_counts_are_maintained_from_deltas(spark, tmp_path):
-    schema = "target string, key string, ref_table string, period string, refs long, rows long, removals long, at timestamp"
-    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
-    put([("o", "k1", "r", "2024-01", 1, 0, 0, T0), ("o", "k2", "r", "2024-01", 1, 0, 0, T0), ("o", "k3", "r", "2024-01", 1, 0, 0, T0)])
-    tick = lambda: J.maintain_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "d")), str(tmp_path / "state"), str(tmp_path / "c"))
+DELTAS = "target string, key string, ref_table string, period string, refs long, rows long, removals long, at timestamp"
+DAY = dt.timedelta(days=1)
+
+
+def test_counts_are_maintained_from_deltas(spark, tmp_path, monkeypatch):
+    put = lambda rows: spark.createDataFrame(rows, DELTAS).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    tick = lambda c="c": J.maintain_counts(spark.readStream.schema(DELTAS).parquet(str(tmp_path / "d")), str(tmp_path / "state"), str(tmp_path / c))
+    report = lambda: sorted((r["ref_key"], r["kind"], r["n_refs"]) for r in orphan_report(J.kept_counts(spark, str(tmp_path / "state"))).collect())
+    put([("o", "k1", "r", "2024-01", 1, 0, 0, T0), ("o", "k2", "r", "2024-01", 1, 0, 0, T0), ("o", "k3", "r", "2024-01", 1, 0, 0, T0), ("o", "k4", "r", "2024-01", 1, 0, 0, T0)])
+    tick()
+    put([("o", "k1", "r", "2024-01", -1, 0, 0, T0), ("o", "k2", None, None, 0, 1, 0, T0), ("o", "k3", None, None, 0, 0, 1, None), ("o", "k4", None, None, 0, 1, 0, T0 + DAY)])
+    tick()
     tick()
-    put([("o", "k1", "r", "2024-01", -1, 0, 0, T0), ("o", "k2", None, None, 0, 1, 0, T0), ("o", "k3", None, None, 0, 0, 1, None)])
+    assert report() == [("k3", "deleted", 1), ("k4", "late", 1)]
+    # a batch whose commit was lost comes again, with the same id and rows
+    import shutil
+
+    (tmp_path / "c" / "commits" / "1").unlink()
+    shutil.rmtree(tmp_path / "c" / "commits" / ".1.crc", ignore_errors=True)
+    (tmp_path / "c" / "commits" / ".1.crc").unlink(missing_ok=True)
+    tick()
+    assert report() == [("k3", "deleted", 1), ("k4", "late", 1)]
+    # folded into a base, and replayed again
+    monkeypatch.setattr(J, "FIRST_FOLD", 1)
+    put([("o", "k4", None, None, 0, -1, 0, T0 + DAY), ("o", "k4", None, None, 0, 1, 0, T0)])
     tick()
+    assert J._pending(spark, str(tmp_path / "state")) == [] and report() == [("k3", "deleted", 1)]
+    for f in ("2", ".2.crc"):
+        (tmp_path / "c" / "commits" / f).unlink(missing_ok=True)
     tick()
-    report = orphan_report(S.read_version(spark, str(tmp_path / "state"))).collect()
-    assert [(r["ref_key"], r["kind"]) for r in report] == [("k3", "deleted")]
+    assert report() == [("k3", "deleted", 1)]
+
+
+def test_a_withdrawn_record_is_late_no_more(spark):
+    d = lambda rows: spark.createDataFrame(rows, DELTAS)
+    state = key_counts(d([("o", "k", "r", "2024-01", 1, 0, 0, T0 + 4 * DAY), ("o", "k", None, None, 0, 1, 0, T0), ("o", "k", None, None, 0, 1, 0, T0 + 8 * DAY)]))
+    assert [r["kind"] for r in orphan_report(state).collect()] == ["late"]
+    state = advance_counts(state, d([("o", "k", None, None, 0, -1, 0, T0 + 8 * DAY)]))
+    assert orphan_report(state).collect() == []
+    state = advance_counts(state, d([("o", "k", "r", "2024-01", 1, 0, 0, T0 - DAY), ("o", "k", None, None, 0, -1, 0, T0)]))
+    assert [(r["kind"], r["n_refs"]) for r in orphan_report(state).collect()] == [("missing", 2)]
+    assert advance_counts(state, state.withColumns({c: -F.col(c) for c in ("refs", "rows", "removals")})).collect() == []
+
+
+def run_stream(spark, df, tmp_path, name):
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"c-{name}")).start()
+    q.awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_entries_expire(spark, tmp_path):
+    rows = [(1, 0, "a", 1.0), (2, 50, "a", 2.0), (3, 10, "b", 3.0), (4, 20_000, "z", 0.0), (5, 20_001, "z", 0.0), (6, 40_000, "z", 5.0)]
+    s, _ = stream(spark, tmp_path, sorted(rows, key=lambda r: r[1]))
+    got = run_stream(spark, J.fresh_values(s, "who", "value", "ts", 60, late="1 second"), tmp_path, "fresh")
+    expired = {r["who"]: (r["value"], (r["ts"] - T0).total_seconds()) for r in got if r["expired"]}
+    assert expired["a"] == (2.0, 50.0) and expired["b"] == (3.0, 10.0)
+
+
+def test_leases_have_one_owner(spark, tmp_path):
+    schema = "key string, who string, what string, ts timestamp"
+    rows = [("k", "a", "take", 0), ("k", "b", "take", 5), ("k", "a", "take", 8), ("k", "b", "take", 20), ("k", "a", "release", 21), ("k", "b", "release", 22), ("k", "a", "take", 23), ("z", "x", "take", 5000), ("z", "x", "take", 9000)]
+    for part in (rows[:4], rows[4:8], rows[8:]):
+        spark.createDataFrame([(k, w, a, T0 + dt.timedelta(seconds=s)) for k, w, a, s in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+    s = J.event_stream(spark, str(tmp_path / "l"), schema, files_per_trigger=1)
+    got = run_stream(spark, J.leases(s, "key", "who", "what", "ts", 10, late="1 second"), tmp_path, "leases")
+    mine = sorted((int((r["ts"] - T0).total_seconds()), r["who"], r["outcome"]) for r in got if r["key"] == "k")
+    assert mine == [(0, "a", "granted"), (5, "b", "refused"), (8, "a", "renewed"), (18, "a", "expired"), (20, "b", "granted"), (21, "a", "ignored"), (22, "b", "released"), (23, "a", "granted"), (33, "a", "expired")]
+
+
+def test_one_tick_at_a_time(spark, tmp_path):
+    root = str(tmp_path / "r")
+    assert J.single_tick(spark, root, lambda: None) is False
+
+    def within():
+        with pytest.raises(S.Refused):
+            J.single_tick(spark, root, lambda: None)
+
+    assert J.single_tick(spark, root, within) is False
+    (tmp_path / "r" / "RUNNING").touch()
+    assert J.single_tick(spark, root, lambda: None, stale_seconds=0) is True
+    assert not (tmp_path / "r" / "RUNNING").exists()

@@ -32,34 +32,41 @@ def removal_deltas(df: DataFrame, target: Column, key: Column) -> DataFrame:
     return df.select(target.alias("target"), key.alias("key"), none.alias("ref_table"), none.alias("period"), _zero("refs"), _zero("rows"), F.lit(1).cast("long").alias("removals"), F.lit(None).cast("timestamp").alias("at")).where("key is not null and target is not null")
 
 
-def _add_up(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("target", "key", "ref_table", "period").agg(
-        F.sum("refs").alias("refs"), F.sum("rows").alias("rows"), F.sum("removals").alias("removals"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
-    )
+STATE = ("target", "key", "ref_table", "period", "at")
 
 
 def key_counts(deltas: DataFrame) -> DataFrame:
-    """Counts per (target, key, ref_table, period) with the earliest and latest time; deltas may be signed."""
-    return _add_up(deltas.withColumns({"first_at": F.col("at"), "last_at": F.col("at")}))
+    """Signed counts per (target, key, ref_table, period, at), zeros left out, in the form of deltas: a state that adds up with further deltas in any order."""
+    counts = deltas.groupBy(*STATE).agg(*(F.sum(c).alias(c) for c in ("refs", "rows", "removals")))
+    return counts.where("refs <> 0 or rows <> 0 or removals <> 0").select(deltas.columns)
 
 
 def advance_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
-    """A kept state of counts with a batch of changes added, rows that became zero left out.
+    """A kept state of counts with a batch of changes added.
 
-    A withdrawn reference (-1) lowers the count; the times of what is left stay bounds, as minima can't be taken back.
+    A withdrawal (-1) names the time of what it takes back, as every time has its own count; so the earliest reference
+    and the latest record are those that are left.
     """
-    both = _add_up(counts.unionByName(key_counts(deltas)))
-    return both.where("refs <> 0 or rows <> 0 or removals <> 0")
+    return key_counts(counts.unionByName(deltas.select(counts.columns)))
+
 
+def _by_period(counts: DataFrame) -> DataFrame:
+    """Sums per (target, key, ref_table, period), with the earliest reference and the latest record that are left."""
+    return counts.groupBy("target", "key", "ref_table", "period").agg(
+        *(F.sum(c).alias(c) for c in ("refs", "rows", "removals")), F.min(F.when(F.col("refs") > 0, F.col("at"))).alias("first_at"), F.max(F.when(F.col("rows") > 0, F.col("at"))).alias("last_at")
+    )
 
-def orphan_references(deltas: DataFrame) -> DataFrame:
-    """The current orphan report of all ``deltas``; see :func:`orphan_report`."""
-    return orphan_report(key_counts(deltas))
+
+def orphan_references(deltas: DataFrame, *, signed: bool = True) -> DataFrame:
+    """The current orphan report of all ``deltas``; see :func:`orphan_report`. Without withdrawals among them (``signed`` false) no count per time is needed, which saves a shuffle."""
+    return orphan_report(key_counts(deltas) if signed else deltas)
 
 
 def orphan_report(counts: DataFrame) -> DataFrame:
     """(ref_table, ref_key, kind, period, n_refs): references whose key does not exist or was created after them.
 
+    ``counts`` is a state of :func:`key_counts`, or deltas none of which withdraws another.
+
     Method: deltas are added up per (target, key, ref_table, period), which collapses a hot key before it meets its
     target; a key's few count rows are then brought together, and a key with positive references and zero existence
     is ``deleted`` (with a confirmed removal) or ``missing``; an existing key created after the earliest reference of a
@@ -67,9 +74,9 @@ def orphan_report(counts: DataFrame) -> DataFrame:
 
     Defined cases: null and blank keys are no reference; repeats change counts but no case; a key with several rows is
     late if any was created after the reference; references or rows without a time are never late; counts that add up
-    to zero or less are no reference. Empty tables give no rows.
+    to zero or less are no reference, record or removal. Empty tables give no rows.
     """
-    state = counts.groupBy("target", "key").agg(
+    state = _by_period(counts).groupBy("target", "key").agg(
         F.sum("rows").alias("rows"),
         F.sum("removals").alias("removals"),
         F.max(F.when(F.col("rows") > 0, F.col("last_at"))).alias("created"),

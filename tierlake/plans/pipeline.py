@@ -67,12 +67,12 @@ def _deltas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_references(_deltas(spark, d)).select("ref_table", "ref_key", "kind", "period")
+    return orphan_references(_deltas(spark, d), signed=False).select("ref_table", "ref_key", "kind", "period")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per table, kind and month."""
-    return orphan_references(_deltas(spark, d)).groupBy("ref_table", "kind", "period").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_refs").alias("n_refs"))
+    return orphan_references(_deltas(spark, d), signed=False).groupBy("ref_table", "kind", "period").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_refs").alias("n_refs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

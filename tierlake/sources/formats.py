@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections import Counter
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,48 +35,102 @@ def read_positional(spark: SparkSession, path: str, names: list[str], *, comment
     return lines.where(F.size("f") == len(names)).select(*(F.col("f")[i].alias(n) for i, n in enumerate(names)))
 
 
-def read_manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Compressed JSON-line manifests with where each row comes from: source_path, source_bytes, source_changed."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_size").alias("source_bytes"), F.col("_metadata.file_modification_time").alias("source_changed"))
+def list_sources(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, source_bytes, source_changed) of the files in a folder; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("source_path"), F.col("length").alias("source_bytes"), F.col("modificationTime").alias("source_changed"))
+
+
+def _plain_path(uri: Column) -> Column:
+    """A file's URI as the file listing names it: not escaped, one slash after the scheme of a local file."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+
+
+def read_manifests(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Compressed JSON-line manifests (a folder or files) with where each row comes from: source_path, source_bytes, source_changed."""
+    lines = spark.read.text(path).select("value", _plain_path(F.col("_metadata.file_path")).alias("source_path"), F.col("_metadata.file_size").alias("source_bytes"), F.col("_metadata.file_modification_time").alias("source_changed"))
     parsed = lines.where(F.trim("value") != "").select("source_path", "source_bytes", "source_changed", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("j"))
     return parsed.select("source_path", "source_bytes", "source_changed", "j.*")
 
 
 def changed_sources(now: DataFrame, before: DataFrame) -> DataFrame:
-    """(source_path, status): sources to read again (``new``, ``changed``) or to drop (``vanished``), by size and time of change."""
-    stat = lambda df, n: df.groupBy("source_path").agg(F.struct(F.max("source_bytes"), F.max("source_changed")).alias(n))
+    """(source_path, status): sources to read again (``new``, ``changed``) or to drop (``vanished``), by size and time of change; both sides one row a source."""
+    stat = lambda df, n: df.select("source_path", F.struct("source_bytes", "source_changed").alias(n))
     j = stat(now, "a").join(stat(before, "b"), "source_path", "full")
     status = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "vanished").when(F.col("a") != F.col("b"), "changed")
     return j.select("source_path", status.alias("status")).where("status is not null")
 
 
-def replace_sources(index: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
-    """An index with the rows of changed and vanished sources replaced by those of ``fresh``."""
-    kept = index.join(changed.select("source_path"), "source_path", "left_anti")
-    return kept.unionByName(fresh.join(changed.where("status <> 'vanished'").select("source_path"), "source_path", "left_semi"))
-
-
-def _fs(spark: SparkSession, path: str):
+def ingest_manifests(spark: SparkSession, path: str, root: str, schema: str) -> dict[str, int]:
+    """Bring the table of manifest rows at ``root`` up to date with a folder; number of sources by status.
+
+    Files are listed without being opened and compared by size and time with the list kept of the last ingest
+    (``root``/sources, a versioned table of one row a file); only new and changed ones are read. Each source's rows are a
+    partition of the table, so changed sources are overwritten, vanished ones dropped, and the others stay as they are.
+    The list is swapped last: an ingest that was cut off is done again. The paths of changed files reach the driver.
+    """
+    now = list_sources(spark, path)
+    kept = read_version(spark, f"{root}/sources").drop("folder") if current_version(spark, f"{root}/sources") else now.limit(0)
+    status = {r["source_path"]: r["status"] for r in changed_sources(now, kept).collect()}
+    folder = F.sha2(F.col("source_path"), 256)  # of a source in the table
+    fresh = sorted(p for p, s in status.items() if s != "vanished")
+    if fresh:
+        rows = read_manifests(spark, fresh, schema).withColumn("folder", folder)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(f"{root}/rows")
+        filled = {r[0] for r in rows.select("source_path").distinct().collect()}
+    else:
+        filled = set()
+    for p in status:  # a source that vanished, or holds no row any more
+        if status[p] == "vanished" or p not in filled:
+            fs, at = path_of(spark, f"{root}/rows/folder={hashlib.sha256(p.encode()).hexdigest()}")
+            fs.delete(at, True)
+    if status:
+        write_version(now.withColumn("folder", folder), f"{root}/sources")
+    return dict(Counter(status.values()))
+
+
+def path_of(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _pointer(spark: SparkSession, root: str) -> list[str]:
+    fs, pointer = path_of(spark, f"{root}/CURRENT")
+    return [r[0] for r in spark.read.text(f"{root}/CURRENT", wholetext=True).collect()[:1]][0].split("\n") if fs.exists(pointer) else []
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
     """The version a table's pointer names; None before the first write."""
-    fs, pointer = _fs(spark, f"{root}/CURRENT")
-    return int(spark.read.text(f"{root}/CURRENT").first()[0]) if fs.exists(pointer) else None
+    said = _pointer(spark, root)
+    return int(said[0]) if said else None
 
 
-def write_version(df: DataFrame, root: str) -> int:
-    """Write a whole new version, then swap the pointer by a rename: readers see the old table or the new one."""
+def version_note(spark: SparkSession, root: str) -> str:
+    """What was noted with the current version; empty if nothing."""
+    return "\n".join(_pointer(spark, root)[1:])
+
+
+def write_version(df: DataFrame, root: str, note: str = "") -> int:
+    """Write a whole new version, then swap the pointer by a rename: readers see the old table or the new one.
+
+    The number of the version is claimed by a file that only one writer can create, and the pointer is swapped only if
+    it still names the version the write began with: of two writers at a time the later is refused, and none overwrites
+    the other's files. ``note`` is kept with the pointer.
+    """
     spark = df.sparkSession
-    version = (current_version(spark, root) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v{version:06d}")
-    fs, new = _fs(spark, f"{root}/.CURRENT.{version}")
+    base = current_version(spark, root) or 0
+    version = base + 1
+    while not create_new(spark, f"{root}/.CLAIM.{version:06d}"):
+        version += 1
+    df.write.mode("errorifexists").parquet(f"{root}/v{version:06d}")
+    fs, new = path_of(spark, f"{root}/.CURRENT.{version}")
     out = fs.create(new, True)
-    out.writeBytes(str(version))
+    out.write(bytearray(f"{version}\n{note}" if note else str(version), "utf-8"))
     out.close()
+    if (current_version(spark, root) or 0) != base:
+        raise Refused(f"{root} was changed by another writer since version {base}")
     fs_api = spark.sparkContext._jvm.org.apache.hadoop.fs
     overwrite = spark.sparkContext._gateway.new_array(fs_api.Options.Rename, 1)
     overwrite[0] = fs_api.Options.Rename.OVERWRITE
@@ -81,6 +138,17 @@ def write_version(df: DataFrame, root: str) -> int:
     return version
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already."""
+    fs, p = path_of(spark, path)
+    try:
+        return fs.createNewFile(p)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+
+
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """A version of a table, by default the current one."""
     version = version or current_version(spark, root)
@@ -89,6 +157,16 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/v{version:06d}")
 
 
+def complete_folders(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the folders in ``root`` that were written to the end, by name."""
+    fs, p = path_of(spark, root)
+    if not fs.exists(p):
+        return []
+    found = [x.getPath() for x in fs.listStatus(p) if x.isDirectory()]
+    done = [x for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted((x.getName(), fs.getContentSummary(x).getLength()) for x in done)
+
+
 def append_rows(df: DataFrame, path: str, batch: int) -> None:
     """Append with an explicit sequence: files have no order in Spark."""
     df.withColumn("ingest_batch", F.lit(batch).cast("long")).write.mode("append").parquet(path)
@@ -113,7 +191,7 @@ def dump_tables(tables: dict[str, DataFrame], root: str) -> None:
 def restore_tables(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
     """The tables of a dump; a missing one is refused."""
     for n in names:
-        fs, p = _fs(spark, f"{root}/{n}/_SUCCESS")
+        fs, p = path_of(spark, f"{root}/{n}/_SUCCESS")
         if not fs.exists(p):
             raise Refused(f"{n} is missing in {root}")
     return {n: spark.read.parquet(f"{root}/{n}") for n in names}
