@@ -211,3 +211,21 @@ def test_misreadings_that_occur_once_are_found(spark):
     assert {r[0] for r in mojibake.garbled_documents(df).collect()} == set(want)
     out = {r["doc_id"]: r["text"] for r in mojibake.restored_documents(df).collect()}
     assert all(out[i] == want[i] for i in want if "�" not in docs[i])
+
+
+def test_two_byte_misreadings_have_twins(spark):
+    """What leaves no ASCII to join on is joined on what it reads as: one document a misreading, clean twins with other numbers."""
+    zh = "校验值一致之后才能驱逐{}个页面，旧位置的记录仍然保留。"
+    plain = "Three rounds of probing found a write within {} days. The tree counts as live."
+    docs = {k: s.format(k) for k, s in enumerate(s for s in (*CLEAN.values(), zh, plain) for _ in range(40))}
+    want = {}
+    for text, right, wrong in [(zh, "utf-8", "gbk"), (CLEAN["ja"], "utf-8", "cp932"), (CLEAN["ja"], "cp932", "cp1252"), (zh, "gbk", "latin-1"), (plain, "utf-8", "utf-16-le"), (CLEAN["ru"], "utf-8", "gbk")]:
+        data = text.format(77).encode(right)
+        want[len(docs)] = text.format(77)
+        docs[len(docs)] = data[: len(data) // 2 * 2].decode(wrong, "replace") if wrong.startswith("utf-16") else data.decode(wrong, "replace")
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r[0] for r in mojibake.garbled_documents(df).collect()} == set(want)
+    assert {r["evidence"]: r["n_documents"] for r in mojibake.garbled_evidence(df).collect()} == {"reread": len(want)}
+    out = {r["doc_id"]: r["text"] for r in mojibake.restored_documents(df).collect()}
+    assert {i: out[i] for i in want} == want
+    assert mojibake.garbled_evidence(df.limit(0)).collect() == []

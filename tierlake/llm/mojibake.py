@@ -72,6 +72,12 @@ def _to_bytes(encoding: str) -> dict[int, int]:
     return {ord(c): b + 128 for b, c in reversed(list(enumerate(_high(encoding))))}
 
 
+@lru_cache(maxsize=None)
+def _to_latin(encoding: str) -> dict[int, int]:
+    """Characters of an encoding of single bytes to those of the same bytes in Latin-1; others of Latin-1 to what it can't encode."""
+    return {c: 0xFFFF for c in range(128, 256)} | _to_bytes(encoding)
+
+
 @lru_cache(maxsize=None)
 def _characters(encoding: str) -> frozenset[str]:
     """The non-ASCII characters of an encoding of single bytes."""
@@ -100,10 +106,9 @@ def _bytes(text: str, encoding: str) -> bytes | None:
             return text.encode(encoding)
         except UnicodeEncodeError:
             return None
-    table = _to_bytes(encoding)
     try:
-        return bytes(b if b < 128 else table[b] for b in map(ord, text))
-    except KeyError:
+        return text.translate(_to_latin(encoding)).encode("latin-1")
+    except UnicodeEncodeError:
         return None
 
 
@@ -204,6 +209,11 @@ def _collapse(text: str) -> str:
     return _LOSS.sub(LOST, text)
 
 
+def _telling(text: str) -> bool:
+    """Whether a text that lost characters kept as many others that are not ASCII as it has gaps; else too little is left to know it by."""
+    return len(_LOSS.findall(text)) + text.count(LOST) <= sum(map(len, _RUN.findall(text)))
+
+
 def cells(text: str) -> np.ndarray:
     """Cells of the pairs of adjacent characters of which one at least is not ASCII and none lost; ends count as blanks."""
     code = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
@@ -226,8 +236,11 @@ class Reader:
         at = cells(text)
         return float(self.log[at].sum()), len(at)
 
-    def repair(self, text: str, pairs: Iterable[tuple[str, str]]) -> tuple[str, float, tuple[tuple[str, str], ...]]:
-        """The text that reads best after undoing wrong readings, by how much better in nats a character pair, and the readings undone; (text, 0, ()) if none helps."""
+    def repair(self, text: str, pairs: Iterable[tuple[str, str]], tried: dict[tuple[tuple[str, str], ...], tuple[str, float]] | None = None) -> tuple[str, float, tuple[tuple[str, str], ...]]:
+        """The text that reads best after undoing wrong readings, by how much better in nats a character pair, and the readings undone; (text, 0, ()) if none helps.
+
+        ``tried`` gets every text that undoing a reading once (or twice) gives and that reads better at all, with its gain.
+        """
         now, gain, undone = text, 0.0, ()
         scores: dict[str, tuple[float, int]] = {}  # several pairs give the same text
 
@@ -236,7 +249,7 @@ class Reader:
                 scores[t] = self.score(t)
             return scores[t]
 
-        for _ in range(ROUNDS):
+        for turn in range(ROUNDS):
             total, n = score(now)
             if not n:
                 break
@@ -254,6 +267,8 @@ class Reader:
                 for new, how in tries:
                     t, k = score(new)
                     mean = (t / k if k else self.log.max()) - total / n
+                    if tried is not None and not turn and mean > 0:
+                        tried[how] = (new, mean)
                     if pair[0] == UTF8:
                         enough = mean > BETTER - PER_SAVED * abs(len(now) - len(new)) and mean * n > BETTER_IN_ALL and mean > 0
                     else:
@@ -291,6 +306,11 @@ WIDE_GAIN = 2.5
 STRONG_PAIRS = WIDE_PAIRS + [(UTF8, w) for w in SINGLE]
 
 
+#: Wrong encodings by right ones that lose characters, as the wrong encoding has no character for some bytes.
+_LOSSY = [w for w in SINGLE if LOST in bytes(range(128, 256)).decode(w, "replace")]
+LOSING_PAIRS = {UTF8: DOUBLE + _LOSSY} | {r: _LOSSY[:2] for r in DOUBLE}
+
+
 def _text_column(b: pa.RecordBatch, name: str) -> list[str | None]:
     return b.column(name).to_pylist()
 
@@ -303,7 +323,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is None or text.isascii():
                 continue
             for q in dict.fromkeys(normal(p) for p in passages(text) if not p.isascii()):
-                h = xxhash.xxh3_64_intdigest(q.encode("utf-8", "replace")) - (1 << 63)
+                h = _hash(q)
                 at.append(row)
                 hashes.append(h)
                 norms.append(None if h in seen else q)
@@ -311,11 +331,23 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(hashes, pa.int64()), pa.array(norms, pa.string())], names=["id", "h", "norm"])
 
 
+def _hash(passage: str) -> int:
+    return xxhash.xxh3_64_intdigest(passage.encode("utf-8", "replace")) - (1 << 63)
+
+
+def _lost_cell(h: int) -> int:
+    """The cell, after those of character pairs, of the hash of a passage with lost characters."""
+    return CELLS + ((h + (1 << 63)) >> (64 - 18))
+
+
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
+    """(cell, n): how often character pairs occur, and from CELLS on the cells of passages with lost characters."""
+    counts = np.zeros(2 * CELLS, np.int64)
     for b in batches:
         for q, n in zip(_text_column(b, "norm"), b.column("n").to_pylist(), strict=True):
             np.add.at(counts, cells(q), n)
+            if LOST in q and _telling(q):
+                counts[_lost_cell(_hash(_collapse(q)))] = 1
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["cell", "n"])
 
@@ -326,7 +358,7 @@ def _explain_twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         why = [explain(g, c) for g, c in texts]
         keep = [i for i, x in enumerate(why) if x]
         at = pa.array(keep, pa.int64())
-        names = pa.array([";".join(f"{r}>{w}" for r, w in why[i]) for i in keep], pa.string())
+        names = pa.array([_names(why[i]) for i in keep], pa.string())
         yield pa.RecordBatch.from_arrays([b.column("h").take(at), b.column("n").take(at), b.column("clean").take(at), names, pa.array([sure(*texts[i], why[i]) for i in keep], pa.bool_())], names=["h", "n", "clean", "why", "sure"])
 
 
@@ -334,28 +366,85 @@ def _pairs(text: str) -> tuple[tuple[str, str], ...]:
     return tuple(tuple(x.split(">")) for x in text.split(";") if x)
 
 
-def _repairs(shared, least: float):
-    """(h, n, how, gain): the readings undone in passages that read better without them, and by how much."""
+READINGS = "h long, n long, how string, gain double, h2 long, clean string, kind byte"
+#: Kinds of readings: a repair that is proof by itself or by a learned pair; a text that may be a passage of the corpus, with or without other than ASCII characters; a passage as it looks when it loses characters; a passage that lost some.
+REPAIR, REREAD, PLAIN, LOSING, LOSER = range(5)
+#: Bits of the map of hashes by which plain passages are looked for.
+PLAIN_BITS = 22
+
+
+def _readings(shared, least: float, search: bool):
+    """Readings of passages (READINGS): repairs by ``pairs`` that gain more than ``least``; with ``search`` also what twins are joined on.
+
+    A misreading that leaves no ASCII in its place can't be joined on the text around it. So the passage is read as it may
+    have been meant (REREAD, by its hash), which is then looked for among all passages; and where characters are lost,
+    which can't be undone, a passage is misread as it may have been (LOSING) and looked for among those that lost some.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, pairs = shared.value
-        reader = Reader(counts)
+        counts, pairs, losers = shared.value
+        reader, some_lost = Reader(counts), losers.any()
         for b in batches:
-            hs, ns, hows, gains = [], [], [], []
+            out: list[tuple] = []
             for h, n, q in zip(b.column("h").to_pylist(), b.column("n").to_pylist(), _text_column(b, "norm"), strict=True):
-                new, gain, how = reader.repair(q, pairs)
+                tried: dict | None = {} if search else None
+                new, gain, how = reader.repair(q, pairs, tried)
                 if new != q and gain > least:
-                    hs.append(h)
-                    ns.append(n)
-                    hows.append(";".join(f"{r}>{w}" for r, w in how))
-                    gains.append(gain)
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(hows, pa.string()), pa.array(gains, pa.float64())], names=["h", "n", "how", "gain"])
+                    out.append((h, n, _names(how), gain, None, None, REPAIR))
+                if not search:
+                    continue
+                for how, (text, better) in tried.items():
+                    for part in map(normal, passages(text)):
+                        if not part.isascii() and LOST not in part:
+                            out.append((h, n, _names(how), better, _hash(part), None, REREAD))
+                        elif part.isascii() and len(_LETTERS.findall(part)) >= SKELETON:
+                            out.append((h, n, _names(how), better, None, part, PLAIN))
+                if LOST in q:
+                    if _telling(q):
+                        out.append((h, n, None, None, _hash(_collapse(q)), None, LOSER))
+                    continue
+                for right, wrongs in LOSING_PAIRS.items() if some_lost else ():
+                    try:
+                        data = q.encode(right)
+                    except UnicodeEncodeError:
+                        continue
+                    for wrong in wrongs:
+                        seen = data.decode(wrong, "replace")
+                        if LOST in seen:
+                            key = _hash(_collapse(normal(seen)))
+                            if losers[_lost_cell(key) - CELLS] and _telling(seen):
+                                out.append((h, n, f"{right}>{wrong}", None, key, q, LOSING))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.int8()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "n", "how", "gain", "h2", "clean", "kind"])
 
     return run
 
 
+def _names(how: Iterable[tuple[str, str]]) -> str:
+    return ";".join(f"{r}>{w}" for r, w in how)
+
+
+#: What shows that a passage is garbled, the strongest first: a clean twin joined on its ASCII, a clean twin it is when read rightly, a mapping learned from twins, the reading score alone, lost characters alone.
+EVIDENCE = ("twin", "reread", "mapping", "score", "lost")
+
+
+def _plain_twins(rows: DataFrame, read: DataFrame) -> DataFrame:
+    """(h, n, how, gain, clean_n): readings that are ASCII passages of the corpus; these were counted nowhere, so the texts are cut again, in the JVM, and only passages kept whose hash is among those looked for."""
+    wanted = read.where(F.col("kind") == PLAIN).select("h", "n", "how", "gain", F.xxhash64("clean").alias("k"))
+    if wanted.isEmpty():
+        return wanted.select("h", "n", "how", "gain", F.lit(0).cast("long").alias("clean_n"))
+    place = F.shiftrightunsigned("k", 64 - PLAIN_BITS).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))  # at most 2 ** PLAIN_BITS / 64 rows
+    parts = rows.select(F.explode(F.split("text", r"\n+|(?<=[.:;])[ \t]+")).alias("p")).where(~F.col("p").rlike(r"[^\x00-\x7f]"))
+    same = F.btrim(F.regexp_replace(F.regexp_replace("p", "[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*", "0"), r"[ \t\r\f\x0b]+", " "), F.lit(" "))
+    seen = parts.select(F.xxhash64(same).alias("k")).join(F.broadcast(words), F.shiftright(place, 6) == F.col("word")).where(F.getbit("bits", place.bitwiseAND(F.lit(63))) == 1)
+    return wanted.join(seen.groupBy("k").agg(F.count(F.lit(1)).alias("clean_n")), "k").drop("k")
+
+
 class Garbled:
-    """What is known of a corpus: ``where`` (id, h), ``verdicts`` (h, how, clean) and the learned ``pairs``."""
+    """What is known of a corpus: ``where`` (id, h), ``verdicts`` (h, evidence, how, clean) and the learned ``pairs``."""
 
     def __init__(self, where: DataFrame, verdicts: DataFrame, pairs: list[tuple[str, str]]):
         self.where, self.verdicts, self.pairs = where, verdicts, pairs
@@ -367,12 +456,15 @@ def learn_garbled(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     Method: texts are cut into passages at ASCII characters, words with digits made equal; equal passages are counted
     once. Passages join others on their text without non-ASCII characters (or, where no letters are left, on the places
     of these); the most frequent of them is taken for clean if it is TWIN_RATIO times as frequent. Aligning the runs of
-    non-ASCII characters of both gives the encodings (right, wrong) that explain the difference; the fewest pairs
-    that explain the twins are learned. A twin is proof by itself (:func:`sure`), however often its pair occurs, and so is
-    a repair that gains WIDE_GAIN by one of STRONG_PAIRS or by a pair that any twin shows; misreadings that leave no
-    ASCII to join on (two-byte encodings) are found and learned from the latter. The learned pairs are then undone in all passages without a twin, where the
-    text reads better afterwards, measured by the frequencies of character pairs over all documents, kept in a hashed
-    table of CELLS cells whatever the size of the corpus. A passage with U+FFFD lost characters on reading.
+    non-ASCII characters of both gives the encodings (right, wrong) that explain the difference. Misreadings that change
+    the ASCII too (two-byte encodings, UTF-16) join their twin on what it reads as instead: a passage read anew by one of
+    STRONG_PAIRS, or by a pair that any twin shows, which then is another passage of the corpus, so frequent or reading
+    better by WIDE_GAIN; and a passage that lost characters is another one misread. The fewest pairs that explain the
+    twins are learned, and undone in all passages without a twin where the text reads better afterwards, measured by the
+    frequencies of character pairs over all documents, kept in a hashed table of CELLS cells whatever the size of the
+    corpus. A twin is proof by itself (:func:`sure`), however often its pair occurs. Without any twin, a repair that
+    gains WIDE_GAIN by one of these pairs is taken, and its pair learned. A passage with U+FFFD lost characters on
+    reading. ``verdicts.evidence`` numbers which of these showed a passage (EVIDENCE).
     """
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
@@ -382,9 +474,10 @@ def learn_garbled(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     where = found.select("id", "h")
     distinct = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).repartition(python_partitions(spark), "h").checkpoint()
 
-    table = distinct.mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
-    counts = np.zeros(CELLS, np.int64)
+    table = distinct.mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * CELLS rows
+    counts = np.zeros(2 * CELLS, np.int64)
     counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    counts, losers = counts[:CELLS], counts[CELLS:] > 0
 
     plain = F.regexp_replace("norm", r"[^\x00-\x7f]+", "")
     letters = F.length(F.regexp_replace(plain, r"[^A-Za-z]+", ""))
@@ -394,26 +487,47 @@ def learn_garbled(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     clean = keyed.groupBy("key").agg(F.max(F.struct("n", F.col("norm").alias("clean"))).alias("best"), F.count(F.lit(1)).alias("all")).where("all > 1").select("key", "best.*").withColumnRenamed("n", "clean_n")
     twins = keyed.join(clean, "key").where((F.col("clean_n") >= TWIN_RATIO * F.col("n")) & (F.col("norm") != F.col("clean"))).select("h", "n", "norm", "clean").mapInArrow(_explain_twins, "h long, n long, clean string, why string, sure boolean").checkpoint()
     votes = [(_pairs(r["why"]), r["votes"]) for r in twins.groupBy("why").agg(F.sum("n").alias("votes")).collect()]  # sets of PAIRS, a few hundred
-    pairs = choose(votes)
 
-    # what is proof by itself is tried with every pair that twins show, learned or not
     rare = sorted({p for why, _ in votes for p in why} - set(STRONG_PAIRS))
-    strong = spark.sparkContext.broadcast((counts, STRONG_PAIRS + rare))  # at most PAIRS and WIDE_PAIRS
-    proven = distinct.mapInArrow(_repairs(strong, WIDE_GAIN), "h long, n long, how string, gain double").checkpoint()
-    learned = proven.groupBy(F.substring_index("how", ";", 1).alias("why")).agg(F.sum("n").alias("votes")).collect()
-    pairs += [p for p in choose((_pairs(r["why"]), r["votes"]) for r in learned) if p not in pairs]
-
-    shared = spark.sparkContext.broadcast((counts, pairs))
-    undone = distinct.mapInArrow(_repairs(shared, 0.0), "h long, n long, how string, gain double").unionByName(proven)
-    names = F.array(*(F.lit(f"{r}>{w}") for r, w in pairs)).cast("array<string>")
-    # a passage that lost characters needs no more evidence
-    known = twins.where(F.col("sure") | F.arrays_overlap(F.split("why", ";"), names)).select("h", F.lit(None).cast("double").alias("gain"), F.lit(None).cast("string").alias("how"), "clean")
-    lost = distinct.where(F.contains("norm", F.lit(LOST))).select("h", F.lit(None).cast("double").alias("gain"), F.lit(None).cast("string").alias("how"), F.lit(None).cast("string").alias("clean"))
-    every = undone.select("h", "gain", "how", F.lit(None).cast("string").alias("clean")).unionByName(known).unionByName(lost)
-    verdicts = every.groupBy("h").agg(F.max(F.struct("gain", "how")).getField("how").alias("how"), F.max("clean").alias("clean")).checkpoint()
+    strong = spark.sparkContext.broadcast((counts, STRONG_PAIRS + rare, losers))  # at most PAIRS and WIDE_PAIRS
+    read = distinct.mapInArrow(_readings(strong, WIDE_GAIN, True), READINGS).checkpoint()
+    proven = read.where(F.col("kind") == REPAIR).select("h", "n", "how", "gain")
+    right = distinct.select(F.col("h").alias("h2"), F.col("n").alias("clean_n"))
+    reread = read.where(F.col("kind") == REREAD).join(right, "h2").select("h", "n", "how", "gain", "clean_n").unionByName(_plain_twins(rows, read)).where((F.col("clean_n") >= TWIN_RATIO * F.col("n")) | (F.col("gain") > WIDE_GAIN)).select("h", "n", "how", "gain", F.lit(None).cast("string").alias("clean")).distinct()
+    losers_of = read.where(F.col("kind") == LOSER).select(F.col("h").alias("loser"), F.col("n").alias("loser_n"), "h2")
+    losing = read.where(F.col("kind") == LOSING).join(losers_of, "h2").groupBy("loser").agg(F.max("loser_n").alias("n"), F.max_by(F.struct("how", "clean"), F.struct("n", "clean")).alias("b"))
+    reread = reread.unionByName(losing.select(F.col("loser").alias("h"), "n", "b.how", F.lit(None).cast("double").alias("gain"), "b.clean")).checkpoint()
+    # the pairs that a passage can be read by, a few
+    ways = reread.groupBy("h").agg(F.max("n").alias("n"), F.array_join(F.array_sort(F.collect_set(F.substring_index("how", ";", 1))), ";").alias("why"))
+    votes += [(_pairs(r["why"]), r["votes"]) for r in ways.groupBy("why").agg(F.sum("n").alias("votes")).collect()]  # sets of pairs, as above
+    taught = choose(votes)
+    scored = proven.groupBy(F.substring_index("how", ";", 1).alias("why")).agg(F.sum("n").alias("votes")).collect()
+    pairs = taught + [p for p in choose((_pairs(r["why"]), r["votes"]) for r in scored) if p not in taught]
+
+    names = F.array(*(F.lit(f"{r}>{w}") for r, w in taught)).cast("array<string>")
+    known = twins.where(F.col("sure") | F.arrays_overlap(F.split("why", ";"), names))
+    # a passage with a twin of its own need not be read by what was learned; one that was misread twice may still be read better than by a twin that was misread once
+    shared = spark.sparkContext.broadcast((counts, pairs, losers))
+    rest = distinct.join(known.select("h").unionByName(proven.select("h")).distinct(), "h", "left_anti")
+    undone = rest.repartition(python_partitions(spark)).mapInArrow(_readings(shared, 0.0, False), READINGS).select("h", "n", "how", "gain").unionByName(proven)
+    none = F.lit(None).cast("string")
+    mapped = F.when(F.size(F.array_except(F.split("how", ";"), names)) == 0, 2).otherwise(3)
+    every = undone.select("h", mapped.alias("evidence"), "gain", "how", none.alias("clean"))
+    every = every.unionByName(known.select("h", F.lit(0).alias("evidence"), F.lit(None).cast("double").alias("gain"), none.alias("how"), "clean"))
+    every = every.unionByName(reread.select("h", F.lit(1).alias("evidence"), "gain", F.when(F.col("clean").isNull(), F.col("how")).alias("how"), "clean"))
+    every = every.unionByName(distinct.where(F.contains("norm", F.lit(LOST))).select("h", F.lit(4).alias("evidence"), F.lit(None).cast("double").alias("gain"), none.alias("how"), none.alias("clean")))
+    best = F.max(F.when(F.col("how").isNotNull(), F.struct("gain", "how")))
+    verdicts = every.groupBy("h").agg(F.min("evidence").alias("evidence"), best.getField("how").alias("how"), F.min(F.when(F.col("clean").isNotNull(), F.struct("evidence", "clean"))).getField("clean").alias("clean")).checkpoint()
     return Garbled(where, verdicts, pairs)
 
 
+def garbled_evidence(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(evidence, n_documents): garbled documents by the strongest evidence any of their passages has; see EVIDENCE and :func:`learn_garbled`."""
+    g = learn_garbled(documents, doc_id=doc_id, text=text)
+    each = g.where.join(g.verdicts.select("h", "evidence"), "h").groupBy("id").agg(F.min("evidence").alias("e"))
+    return each.groupBy(F.element_at(F.array(*map(F.lit, EVIDENCE)), F.col("e") + 1).alias("evidence")).agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 def garbled_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id): every document with a passage decoded in a wrong character encoding, once; see :func:`learn_garbled`.
 
@@ -433,15 +547,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(row)
                 pos.append(k)
                 pieces.append(p)
-                hashes.append(None if p.isascii() else xxhash.xxh3_64_intdigest(normal(p).encode("utf-8", "replace")) - (1 << 63))
+                hashes.append(None if p.isascii() else _hash(normal(p)))
         yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(pieces, pa.string()), pa.array(hashes, pa.int64())], names=["id", "pos", "piece", "h"])
 
 
 def refill(piece: str, clean: str) -> str:
-    """``piece`` with the runs of non-ASCII characters of its clean twin; unchanged if they don't match in number."""
+    """``piece`` with the runs of non-ASCII characters of its clean twin, or the twin with the words with digits of ``piece``; unchanged if neither matches in number."""
     runs = _RUN.findall(clean)
-    if len(_RUN.findall(piece)) != len(runs):
-        return piece
+    if skeleton(normal(piece)) != skeleton(clean) or len(_RUN.findall(piece)) != len(runs):  # ASCII characters were misread too
+        words = _WORD_WITH_DIGIT.findall(piece)
+        if len(_WORD_WITH_DIGIT.findall(clean)) != len(words):
+            return piece
+        put, bare = iter(words), piece.strip(" ")
+        return piece[: len(piece) - len(piece.lstrip(" "))] + _WORD_WITH_DIGIT.sub(lambda m: next(put), clean) + (piece[len(piece.rstrip(" ")) :] if bare else "")
     left = iter(runs)
     return _RUN.sub(lambda m: next(left), piece)
 

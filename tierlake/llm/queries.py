@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm.mojibake import garbled_documents, restored_documents
+from tierlake.llm.mojibake import garbled_documents, garbled_evidence, restored_documents
 from tierlake.llm.packing import fill_report, pack_containers
 from tierlake.llm.runs import collapse_runs
 from tierlake.llm.tokenizer import token_count, token_ids
@@ -61,8 +61,13 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return restored_documents(table(spark, d, "documents"))
 
 
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents by what shows them."""
+    return garbled_evidence(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_runs, p6_ids, p7_packing, p7_fill, p7_bounded, p7_bounded_fill, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p4_found, p4_runs, p6_ids, p7_packing, p7_fill, p7_bounded, p7_bounded_fill, p8_found, p8_restored, p8_evidence)}
 
 
 _P4 = r"""
