@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parents[1]
-CORE = {k for m in (entry.pipeline, entry.relational, entry.sequences, entry.texts) for k in m.queries()}
+CORE = {k for m in (entry.pipeline, entry.relational, entry.sequences, entry.texts, entry.catalog) for k in m.queries()}
 
 
 @pytest.fixture(scope="module")

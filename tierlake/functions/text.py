@@ -9,6 +9,19 @@ ASSET_ID = r"(?:logical-v3|v2)-[a-z]+-[a-z]+-[0-9a-z]{6}"
 WORKSPACE_PATH = r"/pool/ws/[a-z]+-[a-z]+-[0-9a-z]{6}"
 
 
+#: A public key for tokens in tests and queries.
+TEST_KEY = b"public test key"
+
+
+def keyed_token(c: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text (RFC 2104) in hex, computed in the JVM; the padded key is part of the plan."""
+    import hashlib
+
+    block = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ x for b in block)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(c, "utf-8")), 256))), 256)
+
+
 def lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep, pos, line): one row per line, numbered from 0, without carriage returns."""
     return df.select(*keep, F.posexplode(F.split(F.regexp_replace(text, "\r", ""), "\n")).alias("pos", "line"))

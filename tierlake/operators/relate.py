@@ -65,16 +65,27 @@ def merge_revisions(authority: DataFrame, incoming: DataFrame, key: str, revisio
     return a.join(b, key, "full").select(key, outcome.alias("outcome"))
 
 
-def merkle_digest(df: DataFrame, keys: list[str], line: Column, digits: int = 2) -> DataFrame:
+def merkle_digest(df: DataFrame, keys: list[str], line: Column, levels: tuple[int, ...] = (5, 3, 1)) -> DataFrame:
     """(keys, digest, n): a digest of a key's distinct lines in order of their hashes, whatever the order of the rows.
 
-    Lines are spread over 16**digits leaves by the first digits of their SHA-256; a leaf's digest covers its sorted
-    hashes, a key's digest its leaves. No task gathers more than one leaf of a key.
+    Lines are spread over leaves by the first digits of their SHA-256 (``levels[0]`` of them); a leaf's digest covers its
+    sorted hashes, a node of each further level the digests of the nodes with its digits, and a key's digest the nodes of
+    the last. A task gathers a leaf of a key, which is a millionth of its lines by default, or 256 nodes.
     """
     hashed = df.select(*keys, F.sha2(line, 256).alias("_h")).distinct()
-    leaf = hashed.groupBy(*keys, F.substring("_h", 1, digits).alias("_leaf")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_leaf", "_d"))), lambda x: F.concat(x["_leaf"], x["_d"])), "")
-    return leaf.groupBy(*keys).agg(F.sha2(joined, 256).alias("digest"), F.sum("_n").alias("n"))
+    node = hashed.groupBy(*keys, F.left("_h", F.lit(levels[0])).alias("_at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    for digits in (*levels[1:], 0):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: F.concat(x["_at"], x["_d"])), "")
+        node = node.withColumn("_up", F.left("_at", F.lit(digits))).groupBy(*keys, "_up").agg(F.sha2(joined, 256).alias("_d"), F.sum("_n").alias("_n")).withColumnRenamed("_up", "_at")
+    return node.select(*keys, F.col("_d").alias("digest"), F.col("_n").alias("n"))
+
+
+def merkle_sql(hashes: str, levels: tuple[int, ...] = (5, 3, 1)) -> str:
+    """The SQL of :func:`merkle_digest` by source_path, over distinct (source_path, h)."""
+    node = f"(select source_path, h[1:{levels[0]}] as leaf, sha256(string_agg(h, '' order by h)) as dg, count(*) as n from ({hashes}) group by 1, 2)"
+    for digits in (*levels[1:], 0):
+        node = f"(select source_path, left(leaf, {digits}) as leaf, sha256(string_agg(leaf || dg, '' order by leaf)) as dg, cast(sum(n) as bigint) as n from {node} group by 1, 2)"
+    return f"(select source_path, dg as digest, n from {node})"
 
 
 class _Stretch:

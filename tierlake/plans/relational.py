@@ -41,15 +41,18 @@ def _dig(c: str) -> str:
 @R.query(
     "q_s2_catalog",
     """select asset_id, host, rtrim(original_path, '/') as path, coalesce(redundancy_class, 'UNCLASSIFIED') as redundancy_class,
-      coalesce(cloud_verified, false) and coalesce(restore_verified, false) and coalesce(snapshot_verified, false) as proven
+      coalesce(cloud_verified, false) and coalesce(restore_verified, false) and coalesce(snapshot_verified, false) as proven,
+      host || '|' || rtrim(original_path, '/') in (select rtrim(workspace_key, '/') from pager_events where upper(trim(event)) = 'RESTORE_PASS' and workspace_key is not null) as restore_passed
     from (select distinct asset_id, host, original_path, redundancy_class, cloud_verified, restore_verified, snapshot_verified from assets) where asset_id is not null""",
 )
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogue rows with defaults; rows without an id are skipped."""
+    """Catalogue rows with defaults and whether a restore of the place has passed; rows without an id are skipped."""
     flags = ("cloud_verified", "restore_verified", "snapshot_verified")
     proven = [F.coalesce(c, F.lit(False)) for c in flags]
     rows = once(spark, d, "assets", "asset_id", "host", "original_path", "redundancy_class", *flags).where("asset_id is not null")
-    return rows.select("asset_id", "host", F.rtrim("original_path", F.lit("/")).alias("path"), F.coalesce("redundancy_class", F.lit("UNCLASSIFIED")).alias("redundancy_class"), (proven[0] & proven[1] & proven[2]).alias("proven"))
+    passed = table(spark, d, "pager_events").where("workspace_key is not null").where(F.upper(F.trim("event")) == "RESTORE_PASS").select(F.rtrim("workspace_key", F.lit("/")).alias("place"), F.lit(True).alias("passed")).distinct()
+    rows = rows.withColumn("path", F.rtrim("original_path", F.lit("/"))).withColumn("place", F.concat("host", F.lit("|"), "path")).join(passed, "place", "left")
+    return rows.select("asset_id", "host", "path", F.coalesce("redundancy_class", F.lit("UNCLASSIFIED")).alias("redundancy_class"), (proven[0] & proven[1] & proven[2]).alias("proven"), F.coalesce("passed", F.lit(False)).alias("restore_passed"))
 
 
 @R.query(
@@ -547,9 +550,7 @@ def rate(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "q_a17_manifest_digest",
-    """with h as (select distinct source_path, sha256(relative_path || '|' || coalesce(size_bytes::varchar, '') || '|' || coalesce(mtime_ns::varchar, '')) as h from asset_files),
-      l as (select source_path, h[1:2] as leaf, sha256(string_agg(h, '' order by h)) as dg, count(*) as n from h group by 1, 2)
-    select source_path, sha256(string_agg(leaf || dg, '' order by leaf)) as digest, cast(sum(n) as bigint) as n from l group by 1""",
+    "select source_path, digest, n from " + relate.merkle_sql("select distinct source_path, sha256(relative_path || '|' || coalesce(size_bytes::varchar, '') || '|' || coalesce(mtime_ns::varchar, '')) as h from asset_files"),
 )
 def manifest_digest(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws("|", "relative_path", F.coalesce(F.col("size_bytes").cast("string"), F.lit("")), F.coalesce(F.col("mtime_ns").cast("string"), F.lit("")))
@@ -691,7 +692,7 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaf_sql(t: str) -> str:
-    return f"(select source_path, sha256(string_agg(leaf || dg, '' order by leaf)) as digest from (select source_path, h[1:2] as leaf, sha256(string_agg(h, '' order by h)) as dg from (select distinct source_path, sha256({_CANON} || '|' || coalesce(size_bytes::varchar, '')) as h from {t}) group by 1, 2) group by 1)"
+    return relate.merkle_sql(f"select distinct source_path, sha256({_CANON} || '|' || coalesce(size_bytes::varchar, '')) as h from {t}")
 
 
 @R.query(

@@ -11,6 +11,7 @@ from tierlake.operators import relate
 from tierlake.operators.scan import ordered_scan
 from tierlake.plans.registry import Registry
 from tierlake.plans.relational import DAY, NOW, WINDOW_BYTES, WINDOW_ITEMS, _dig, once
+from tierlake.session import ensure_checkpoint_dir, python_partitions
 from tierlake.sources.tables import table
 
 R = Registry()
@@ -136,10 +137,13 @@ def streaks(spark: SparkSession, d: str) -> DataFrame:
     select workspace_key, size_bytes, cast(cum as bigint) as cum from c where cum - size_bytes < {NEED_BYTES}""",
 )
 def prefix(spark: SparkSession, d: str) -> DataFrame:
-    """The shortest prefix of the largest pages that frees what is needed: a running sum over all rows, cut into powers of two of the size."""
+    """The shortest prefix of the largest pages that frees what is needed: a running sum over all rows, cut into even ranges of the order."""
     p = table(spark, d, "pages").where("local_present = 1").select("workspace_key", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), F.coalesce("last_access", F.lit(0.0)).alias("last_access"), "access_count").distinct()
-    p = p.withColumn("minus", -F.col("size_bytes"))
-    cum = ordered_scan(p, [], ["minus", "last_access", "access_count", "workspace_key"], -F.floor(F.log2(F.col("size_bytes") + 1)), running_sum={"cum": "size_bytes"})
+    order = ["minus", "last_access", "access_count", "workspace_key"]
+    ensure_checkpoint_dir(spark)
+    # written once, as the numbers of the ranges must not change
+    p = p.withColumn("minus", -F.col("size_bytes")).repartitionByRange(python_partitions(spark), *order).withColumn("range", F.spark_partition_id()).checkpoint()
+    cum = ordered_scan(p, [], order, F.col("range"), running_sum={"cum": "size_bytes"})
     return cum.where(F.col("cum") - F.col("size_bytes") < NEED_BYTES).select("workspace_key", "size_bytes", "cum")
 
 

@@ -14,18 +14,10 @@ from tierlake.plans.sequences import events, top_k
 from tierlake.sources.tables import table
 
 R = Registry()
-#: Search terms and their weights by field, and the rules of the privacy scan in their order (fixed values).
+#: Search terms, their weights by field, and rules of domains in their order (fixed values).
 KEYWORDS = ("kiln", "quarry", "sensor")
 TERMS = ("lease", "snapshot", "drill")
 WEIGHTS = {"path": 14, "semantic_summary": 12, "semantic_keywords_json": 10, "host": 8, "reason": 5}
-PRIVACY = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
-    "ipv4": r"(^|[^0-9A-Za-z_.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}($|[^0-9A-Za-z_.])",
-    "home_path": r"/(?:home|Users)/[A-Za-z0-9._-]+",
-    "long_hex": r"(^|[^0-9A-Za-z_])[0-9a-f]{12,}($|[^0-9A-Za-z_])",
-    "secret": r"(?:token|secret|password|api_key)\s*[=:]\s*[^\s]+",
-    "pid": r"(^|[^0-9A-Za-z_])pid=[0-9]+($|[^0-9A-Za-z_])",
-}
 DOMAINS = (("audio", "audio|recording"), ("imagery", "frames|tiles|masks|clips"), ("model", "model|checkpoint|vector"), ("record", "ledger|sheet|notes"))
 
 _LINES = r"""(select doc_id, kind, i - 1 as pos, ls[i] as line from (select doc_id, kind, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, kind, string_split(replace(text, chr(13), ''), chr(10)) as ls from documents where text is not null)))"""
@@ -77,10 +69,14 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(TX.search_terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
-@R.query("q_c7_hashes", "select distinct workspace_key, sha256(workspace_key) as sha_256, md5(workspace_key) as md_5, left(sha256(workspace_key), 2) as bucket from pages")
+_PAD = {n: "".join(f"\\x{(b ^ x):02X}" for b in TX.TEST_KEY.ljust(64, b"\0")) for n, x in (("inner", 0x36), ("outer", 0x5C))}
+
+
+@R.query("q_c7_hashes", f"select distinct workspace_key, sha256(workspace_key) as sha_256, sha1(workspace_key) as sha_1, md5(workspace_key) as md_5, sha256('{_PAD['outer']}'::blob || unhex(sha256('{_PAD['inner']}'::blob || encode(workspace_key)))) as token, left(sha256(workspace_key), 2) as bucket from pages")
 def hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Digests and a keyed token; the key here is public, a real one must not be part of a plan that is shown."""
     k = F.col("workspace_key")
-    return table(spark, d, "pages").select(k, F.sha2(k, 256).alias("sha_256"), F.md5(k).alias("md_5"), F.left(F.sha2(k, 256), F.lit(2)).alias("bucket")).distinct()
+    return table(spark, d, "pages").select(k, F.sha2(k, 256).alias("sha_256"), F.sha1(k).alias("sha_1"), F.md5(k).alias("md_5"), TX.keyed_token(k, TX.TEST_KEY).alias("token"), F.left(F.sha2(k, 256), F.lit(2)).alias("bucket")).distinct()
 
 
 @R.query("q_c8_json", """select id, case when json_valid(metadata_json) then metadata_json->>'$.bytes' end as bytes, case when json_valid(metadata_json) then metadata_json->>'$.lease_hours' end as hours, json_valid(metadata_json) as valid from (select distinct id, metadata_json from pager_events)""")
@@ -202,9 +198,10 @@ def mentions(spark: SparkSession, d: str, pattern: str, *keep: str) -> DataFrame
     return table(spark, d, "documents").where("text is not null").select("doc_id", *keep, F.explode(TX.mentions(F.col("text"), pattern)).alias("name"))
 
 
-@R.query("q_s12_references", f"select name, count(*) as n_docs from {_MENTIONS.format(_PATH)} group by 1")
+@R.query("q_s12_references", f"select name, count(*) as n_docs, array_to_string(list_sort(list(distinct kind)), '|') as labels from (select doc_id, name, kind from {_MENTIONS.format(_PATH)} m join (select doc_id, kind from documents) using (doc_id)) group by 1")
 def references(spark: SparkSession, d: str) -> DataFrame:
-    return mentions(spark, d, _PATH).groupBy("name").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Named paths with the number of texts and the kinds of these as labels."""
+    return mentions(spark, d, _PATH, "kind").groupBy("name").agg(F.count(F.lit(1)).alias("n_docs"), F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("labels"))
 
 
 @R.query("q_j16_mentioned_assets", f"select m.doc_id, a.asset_id from {_MENTIONS.format(_ASSET)} m join (select distinct asset_id from assets) a on m.name = a.asset_id")
@@ -230,11 +227,6 @@ def empty_sections(spark: SparkSession, d: str) -> DataFrame:
     return sections(spark, d).where("n_lines = 0").select("doc_id", "section")
 
 
-@R.query("q_l4_dead_references", f"select name, count(*) as n_docs from {_MENTIONS.format(_PATH)} where name not in (select rtrim(original_path, '/') from assets) group by 1")
-def dead_references(spark: SparkSession, d: str) -> DataFrame:
-    return references(spark, d).join(table(spark, d, "assets").select(F.rtrim("original_path", F.lit("/")).alias("name")), "name", "left_anti")
-
-
 @R.query(
     "q_l5_drift",
     r"""select doc_id, cast(date_diff('day', cast(written_at as date), max(day)) as bigint) as days from (select doc_id, written_at, try_cast(unnest(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) as date) as day from documents where text is not null and written_at is not null) where day is not null group by doc_id, written_at having date_diff('day', cast(written_at as date), max(day)) > 21""",
@@ -252,16 +244,6 @@ def both_sides(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where(blank).groupBy("path").agg(F.count_distinct("host").alias("n_hosts")).where("n_hosts > 1")
 
 
-@R.query(
-    "q_l8_privacy",
-    "\n union all ".join(f"select '{k}' as family, count(*) as n_docs, cast(sum(n) as bigint) as n from (select len(regexp_extract_all(text, '{p}')) as n from documents where text is not null) where n > 0 having count(*) > 0" for k, p in PRIVACY.items()),
-)
-def privacy(spark: SparkSession, d: str) -> DataFrame:
-    """All families of patterns in one pass over the texts."""
-    counts = F.array(*(F.struct(F.lit(k).alias("family"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in PRIVACY.items()))
-    return table(spark, d, "documents").where("text is not null").select(F.inline(counts)).where("n > 0").groupBy("family").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
-
-
 @R.query("q_l9_markers", r"select asset_id, bool_or(regexp_matches(relative_path, '\.(db|sqlite3?)$')) as db, bool_or(regexp_matches(relative_path, '-(wal|journal)$')) as sidecar, bool_or(regexp_matches(relative_path, '(^|/)ledger_[0-9]+')) as has_ledger from (select nullif(trim(asset_id, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '') as asset_id, relative_path from asset_files) group by 1")
 def markers(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("relative_path")
@@ -344,46 +326,20 @@ def find_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "assets").where(F.forall(F.array(F.lit("kiln"), F.lit("orchard")), lambda t: F.contains(row, t))).select("asset_id").distinct()
 
 
-@R.query(
-    "q_r6_unified",
-    """with h as (select 'workspace' as kind, workspace_key as name, 60 as score from (select distinct workspace_key, path from pages) where contains(path, 'kiln') union all select 'asset', asset_id, 25 from (select distinct asset_id from assets) where contains(asset_id, 'kiln')
-      union all select 'file', source_path, cast(25 + 5 * least(count(*), 20) as int) from asset_files where contains(relative_path, 'kiln') group by 2)
-    select row_number() over (order by score desc, kind, name) as rank, kind, name, score from h order by rank limit 100""",
-)
-def unified(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of several kinds in one ranking."""
-    ws = once(spark, d, "pages", "workspace_key", "path").where(F.contains("path", F.lit("kiln"))).select(F.lit("workspace").alias("kind"), F.col("workspace_key").alias("name"), F.lit(60).alias("score"))
-    assets = once(spark, d, "assets", "asset_id").where(F.contains("asset_id", F.lit("kiln"))).select(F.lit("asset").alias("kind"), F.col("asset_id").alias("name"), F.lit(25).alias("score"))
-    files = table(spark, d, "asset_files").where(F.contains("relative_path", F.lit("kiln"))).groupBy("source_path").agg((25 + 5 * F.least(F.count(F.lit(1)), F.lit(20))).cast("int").alias("score"))
-    hits = ws.unionByName(assets).unionByName(files.select(F.lit("file").alias("kind"), F.col("source_path").alias("name"), "score"))
-    return top_k(hits, 100, F.desc("score"), F.asc("kind"), F.asc("name")).select("rank", "kind", "name", "score")
-
-
-@R.query(
-    "q_r7_resolve",
-    f"""with m as (select distinct name as target from {_MENTIONS.format(_PATH)}), p as (select distinct host, rtrim(original_path, '/') as path from assets)
-    select target, min(struct_pack(k := case when host = 'orchard' then 0 else 1 end, h := host)).h as host, count(*) as n from m join p on p.path = m.target group by 1""",
-)
-def resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Mentioned paths resolved to the preferred host of the assets there."""
-    places = table(spark, d, "assets").select("host", F.rtrim("original_path", F.lit("/")).alias("path")).distinct()
-    m = mentions(spark, d, _PATH).select(F.col("name").alias("path")).distinct().join(places, "path")
-    best = F.min(F.struct(F.when(F.col("host") == "orchard", 0).otherwise(1).alias("k"), F.col("host").alias("h")))
-    return m.groupBy(F.col("path").alias("target")).agg(best.alias("b"), F.count(F.lit(1)).alias("n")).select("target", F.col("b.h").alias("host"), "n")
-
-
 @R.query(
     "q_r8_vector_route",
-    """with q as (select embedding as e from embeddings where vec_id = (select min(vec_id) from embeddings))
-    select label, round(max(list_cosine_similarity(v.embedding, q.e))::double, 4) as best from embeddings v, q group by 1 having max(list_cosine_similarity(v.embedding, q.e)) > -2""",
+    """with q as (select embedding as e from embeddings where vec_id = (select min(vec_id) from embeddings)),
+      s as (select label, round(max(list_cosine_similarity(v.embedding, q.e))::double, 4) as best from embeddings v, q group by 1)
+    select label, best, best >= 0.55 as taken from s""",
 )
 def vector_route(spark: SparkSession, d: str) -> DataFrame:
-    """The best cosine similarity of a query vector to the vectors of each route."""
+    """The best cosine similarity of a query vector to the vectors of each route, and whether the route is taken."""
     v = table(spark, d, "embeddings")
     q = v.agg(F.min_by("embedding", "vec_id").alias("e"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     cosine = dot("embedding", "e") / F.sqrt(dot("embedding", "embedding") * dot("e", "e"))
-    return v.join(F.broadcast(q)).groupBy("label").agg(F.round(F.max(cosine), 4).alias("best"))  # one row
+    best = v.join(F.broadcast(q)).groupBy("label").agg(F.round(F.max(cosine), 4).alias("best"))  # one row
+    return best.select("label", "best", (F.col("best") >= 0.55).alias("taken"))
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------------
