@@ -9,7 +9,7 @@ from tierlake.functions import text as TX
 from tierlake.functions.keys import stripped
 from tierlake.operators import relate
 from tierlake.plans.registry import Registry
-from tierlake.plans.relational import once
+from tierlake.plans.relational import NOW, once
 from tierlake.plans.sequences import events, top_k
 from tierlake.sources.tables import table
 
@@ -167,7 +167,7 @@ def sectioned(spark: SparkSession, d: str) -> DataFrame:
     blocks = F.split(F.concat(F.lit("\n"), F.array_join(ls, "\n")), "\n## ")
     docs = table(spark, d, "documents").where("text is not null and kind = 'handoff'").select("doc_id", F.posexplode(blocks).alias("k", "block"))
     cut = F.split("block", "\n")
-    return docs.where("k > 0").select("doc_id", F.trim(cut[0]).alias("section"), F.slice(cut, 2, F.size(cut)).alias("body"))
+    return docs.where("k > 0").select("doc_id", "k", F.trim(cut[0]).alias("section"), F.slice(cut, 2, F.size(cut)).alias("body"))
 
 
 @R.query("q_s9_sections", f"select doc_id, section, count(*) filter (where trim(line) <> '' and not starts_with(line, '## ')) as n_lines from {_SECTIONED} where section is not null group by 1, 2")
@@ -176,6 +176,34 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return sectioned(spark, d).groupBy("doc_id", "section").agg(F.sum(n).alias("n_lines"))
 
 
+FIELDS = ("What", "Progress", "Next gate", "Blocker", "Skills")
+_COLUMN = {f: f.lower().replace(" ", "_") for f in FIELDS}
+
+
+@R.query(
+    "q_s9_record",
+    f"""with l as (select *, last_value(case when starts_with(line, '## ') then pos end ignore nulls) over (partition by doc_id order by pos rows unbounded preceding) as head from {_SECTIONED}),
+      f as (select doc_id, section, head, arg_min(trim(line), pos) as first_line from l where section is not null and trim(line) <> '' and not starts_with(line, '## ') group by all),
+      v as (select doc_id, {', '.join(f"arg_max(first_line, head) filter (where section = '{f}') as {c}" for f, c in _COLUMN.items())} from f group by 1),
+      t as (select doc_id, nullif(regexp_extract(arg_min(line, pos), '({_PATH})', 1), '') as path from {_LINES} where kind = 'handoff' and starts_with(line, '# /') group by 1),
+      m as (select doc_id, count(*) as n_dependencies from {{MENTIONS_PATH}} m left join t using (doc_id) where name is distinct from path group by 1), a as (select doc_id, count(*) as n_assets from {{MENTIONS_ASSET}} group by 1)
+    select d.doc_id, t.path, {', '.join(_COLUMN.values())}, coalesce(n_dependencies, 0) as n_dependencies, coalesce(n_assets, 0) as n_assets
+    from (select doc_id from documents where kind = 'handoff' and text is not null) d left join t using (doc_id) left join v using (doc_id) left join m using (doc_id) left join a using (doc_id)""".replace("{MENTIONS_PATH}", f"(select distinct doc_id, unnest(regexp_extract_all(text, '{_PATH}')) as name from documents where text is not null)").replace("{MENTIONS_ASSET}", f"(select distinct doc_id, unnest(regexp_extract_all(text, '{_ASSET}')) as name from documents where text is not null)"),
+)
+def record(spark: SparkSession, d: str) -> DataFrame:
+    """Hand-offs as records: the path of the title, the first line of each field (the last section of a name that has one), and what they name; within a text, so only the fields are shuffled."""
+    first = F.element_at(F.filter("body", lambda x: F.trim(x) != ""), 1)
+    s = sectioned(spark, d).select("doc_id", "k", "section", F.trim(F.when(F.exists("body", lambda x: F.trim(x) != ""), first)).alias("first_line")).where("first_line is not null")
+    fields = s.where(F.col("section").isin(*FIELDS)).groupBy("doc_id").agg(*(F.max_by(F.when(F.col("section") == f, F.col("first_line")), F.when(F.col("section") == f, F.col("k"))).alias(c) for f, c in _COLUMN.items()))
+    ls = F.split(F.regexp_replace("text", "\r", ""), "\n")
+    heads = F.filter(ls, lambda x: x.startswith("# /"))
+    title = F.when(F.size(heads) > 0, F.nullif(F.regexp_extract(heads[0], f"({_PATH})", 1), F.lit("")))
+    paths = TX.mentions(F.col("text"), _PATH)
+    docs = table(spark, d, "documents").where("text is not null and kind = 'handoff'").select("doc_id", title.alias("path"), paths.alias("paths"), F.size(TX.mentions(F.col("text"), _ASSET)).cast("long").alias("n_assets"))
+    others = F.size("paths") - F.coalesce(F.array_contains("paths", F.col("path")).cast("int"), F.lit(0))
+    return docs.join(fields, "doc_id", "left").select("doc_id", "path", *_COLUMN.values(), others.cast("long").alias("n_dependencies"), "n_assets")
+
+
 @R.query("q_w7_last_field", f"select doc_id, max_by(line, pos) as last_line, count(distinct section) as n_sections from {_SECTIONED} where section is not null and trim(line) <> '' group by 1")
 def last_field(spark: SparkSession, d: str) -> DataFrame:
     """The last occurrence wins: the last line that is not blank, headings included."""
@@ -222,9 +250,15 @@ def defects(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null and kind = 'handoff'").select("doc_id", found.alias("defects")).where("defects <> ''")
 
 
-@R.query("q_l2_empty_sections", f"select doc_id, section from {_SECTIONED} where section is not null group by 1, 2 having count(*) filter (where trim(line) <> '' and not starts_with(line, '## ')) = 0")
+#: Seconds after writing in which an empty section is excused.
+GRACE = 1800
+
+
+@R.query("q_l2_empty_sections", f"select doc_id, section from {_SECTIONED} join (select doc_id from documents where written_at is null or epoch(written_at) <= {NOW} - {GRACE}) using (doc_id) where section is not null group by 1, 2 having count(*) filter (where trim(line) <> '' and not starts_with(line, '## ')) = 0")
 def empty_sections(spark: SparkSession, d: str) -> DataFrame:
-    return sections(spark, d).where("n_lines = 0").select("doc_id", "section")
+    """Sections without a line, but for texts written within the grace time before the clock."""
+    settled = table(spark, d, "documents").where(F.col("written_at").isNull() | (F.unix_seconds(F.col("written_at").cast("timestamp")) <= NOW - GRACE)).select("doc_id")
+    return sections(spark, d).where("n_lines = 0").join(settled, "doc_id", "left_semi").select("doc_id", "section")
 
 
 @R.query(
